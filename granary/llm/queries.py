@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.urls import site
+from granary.llm import mixing as p9
+from granary.llm import packing as p8
 from granary.llm import repeated_lines as p6
 from granary.llm import shared_spans as p10
+from granary.llm import splitting as p7
+from granary.llm.tokens import count_tokens
+from granary.plans.staging import stage
 from granary.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +42,56 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("doc").alias("page_id"), "site", F.col("text").alias("content"))
 
 
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every text longer than its limit, with the stated overlap."""
+    pages = table(spark, d, "web_articles").select(
+        F.lit("web_articles").alias("table_name"), F.col("page_id").cast("string").alias("item_id"),
+        F.lit("content").alias("field_name"), F.col("content").alias("text"),
+    )
+    pubs = table(spark, d, "publications")
+    texts = [
+        pubs.select(
+            F.lit("publications").alias("table_name"), F.col("pub_id").alias("item_id"), F.lit(f).alias("field_name"),
+            F.col(f).alias("text"),
+        )
+        for f in ("content", "pdf_data.content")
+    ]
+    limits = table(spark, d, "size_limits").where("purpose = 'split' and size_unit = 'characters'")
+    return p7.split(pages.unionByName(texts[0]).unionByName(texts[1]), limits)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that had to be split."""
+    return p7_pieces(spark, d).where("piece_no = 2").select("table_name", "item_id", "field_name").distinct()
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source", "text")
+    return stage(count_tokens(docs), "document-tokens")
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Documents assigned to containers of each pack size."""
+    caps = table(spark, d, "size_limits").where("purpose = 'pack' and table_name = 'documents' and size_unit = 'tokens'")
+    return p8.pack(_tokens(spark, d), caps).withColumnRenamed("doc", "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each pack size are."""
+    return p8.fill_report(p8_pack(spark, d))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents combined so that each source has its target share of all tokens."""
+    return p9.mix(_tokens(spark, d), table(spark, d, "mix_targets")).withColumnRenamed("doc", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    items, targets = _tokens(spark, d), table(spark, d, "mix_targets")
+    return p9.shares(items, targets, p9.mix(items, targets))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that share a span of at least 200 characters."""
     return p10.shared_pairs(_documents(spark, d), 200)
@@ -49,7 +104,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of this package by name."""
-    own = (p6_found, p6_cleaned, p10_found, p10_coverage)
+    own = (p6_found, p6_cleaned, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_coverage)
     return {f.__name__: f for f in own}
 
 
@@ -60,6 +115,13 @@ def oracle_sql() -> dict[str, str]:
         "'^([A-Za-z][A-Za-z0-9+.-]*:)?//', ''), '^([^/?#]*)', 1), ':[0-9]*$', '')), '^((www|m)\\.)+', '')"
     )
     return {
+        "p7_found": """
+with texts as (
+  select 'web_articles' as table_name, cast(page_id as varchar) as item_id, 'content' as field_name, content as t from web_articles
+  union all select 'publications', pub_id, 'content', content from publications
+  union all select 'publications', pub_id, 'pdf_data.content', pdf_data.content from publications)
+select distinct table_name, item_id, field_name from texts join size_limits using (table_name, field_name)
+where purpose = 'split' and length(t) > max_size""",
         "p6_found": f"""
 with pages as (select distinct page_id, {site_sql} as site, content from web_articles
                where url is not null and content is not null),
