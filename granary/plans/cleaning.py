@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.urls import site
-from granary.operators import clocks, quantities
+from granary.operators import clocks, quantities, records
 from granary.plans.staging import stage
 from granary.sources.tables import table
 
@@ -36,6 +36,30 @@ def _clock_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
     return clocks.read(values.select("page", "field", "source", "day_order", "value")), declared, candidates, short
 
 
+def _merkle(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    raw = table(spark, d, "raw_records")
+    return records.merkle(raw.select("record_id", F.col("source_file").alias("source"), "payload"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves of the flat tables of steps, files and units."""
+    return records.flat_leaves(*_merkle(spark, d))
+
+
+def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct subtree once, with the number of links that lead to it."""
+    _, nodes, bridge = _merkle(spark, d)
+    used = bridge.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("links"))
+    return nodes.join(used, "node", "left").select("node", "kind", "value", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def p2_bridge(spark: SparkSession, d: str) -> DataFrame:
+    """The links from each distinct parent to its members, and from each record to its root."""
+    roots, _, bridge = _merkle(spark, d)
+    top = roots.select(F.col("record_id").alias("parent"), F.lit(None).cast("string").alias("member"), F.lit(0).alias("pos"), F.col("node").alias("child"))
+    return bridge.unionByName(top)
+
+
 def p4_histories(spark: SparkSession, d: str) -> DataFrame:
     """The offset history chosen for each site and scraper, with its violations."""
     r, declared, candidates, _ = _clock_tables(spark, d)
@@ -70,5 +94,5 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return known.select("stock_id", "base_unit", "base_milli").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_normalised, p4_histories, p5_found, p5_normalised)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_bridge, p4_found, p4_normalised, p4_histories, p5_found, p5_normalised)}
 SQL: dict[str, str] = {}
