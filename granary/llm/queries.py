@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.urls import site
+from granary.llm import boilerplate as p1
 from granary.llm import mixing as p9
 from granary.llm import packing as p8
 from granary.llm import repeated_lines as p6
@@ -30,6 +31,22 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of pages that aren't main body."""
+    pages = table(spark, d, "web_articles").select(
+        F.col("page_id").alias("page"), site(F.col("url")).alias("site"), "title", "author", F.col("content").alias("text")
+    )
+    return p1.boilerplate_lines(pages).withColumnRenamed("page", "page_id")
+
+
+def p1_body(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's content with its article body alone."""
+    gone = p1_found(spark, d).withColumnRenamed("page_id", "doc")
+    out = p6.without_lines(_pages(spark, d).where("text is not null"), gone)
+    body = F.trim(F.regexp_replace("text", r"\n{3,}", "\n\n"))
+    return out.select(F.col("doc").alias("page_id"), "site", body.alias("body"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines that stand in at least 8 pages of their site."""
     return p6.repeated_lines(_pages(spark, d), 8).withColumnRenamed("doc", "page_id")
@@ -104,7 +121,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of this package by name."""
-    own = (p6_found, p6_cleaned, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_coverage)
+    own = (p1_found, p1_body, p6_found, p6_cleaned, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_coverage)
     return {f.__name__: f for f in own}
 
 
