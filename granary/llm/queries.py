@@ -12,6 +12,7 @@ from granary.llm import boilerplate as p1
 from granary.llm import mixing as p9
 from granary.llm import packing as p8
 from granary.llm import repeated_lines as p6
+from granary.llm import scans as p3
 from granary.llm import shared_spans as p10
 from granary.llm import splitting as p7
 from granary.llm.tokens import count_tokens
@@ -47,6 +48,25 @@ def p1_body(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("doc").alias("page_id"), "site", body.alias("body"))
 
 
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    pubs = table(spark, d, "publications")
+    fields = [
+        pubs.select(F.col("pub_id").alias("item"), F.lit(f).alias("field"), "title", F.col(f).alias("text"))
+        for f in ("content", "pdf_data.content")
+    ]
+    return fields[0].unionByName(fields[1])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Faults of scanned texts by line."""
+    return p3.faults(_scans(spark, d)).withColumnsRenamed({"item": "pub_id", "field": "field_name"})
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned texts as continuous readable paragraphs."""
+    return p3.repair(_scans(spark, d)).withColumnsRenamed({"item": "pub_id", "field": "field_name"})
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines that stand in at least 8 pages of their site."""
     return p6.repeated_lines(_pages(spark, d), 8).withColumnRenamed("doc", "page_id")
@@ -121,7 +141,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of this package by name."""
-    own = (p1_found, p1_body, p6_found, p6_cleaned, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_coverage)
+    own = (p1_found, p1_body, p3_found, p3_repaired, p6_found, p6_cleaned, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_coverage)
     return {f.__name__: f for f in own}
 
 
