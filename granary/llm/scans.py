@@ -36,14 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.plans.staging import stage
+
 MIN_SHARE = 2e-5
 MIN_COUNT = 5
 DOMINANCE = 20
 
 HYPHENS = "-­¬‐‑"
 SURE_HYPHENS = "­¬"
-TOKEN = re.compile(r"(?:[^\W_]|[@|$])+")
+TOKEN = re.compile(r"[\w@|$]+")  # of texts whose underscores were made blanks
 COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
+LINE_HYPHEN = re.compile(rf"[{HYPHENS}][ \t]*\n\s*")
+FIGURES = re.compile(r"(?<![^\W\d_])[0-9lIO|]+(?![^\W\d_])")
+SERIES_SHARE = 2e-3
+PARTS = re.compile(r"\s{2,}|\s[—–|]\s")
 BROKEN = re.compile(r"((?:[^\W_]|[@|])+(?:[-'’‐](?:[^\W_]|[@|])+)*)([-­¬‐‑])\s*$")
 GOES_ON = re.compile(r"\s*((?:[^\W\d_]|[@|0-9])+(?:[-‐](?:[^\W\d_])+)*)")
 NUMBER = r"[0-9lIiOoSB|]{1,4}"
@@ -75,13 +81,26 @@ def base(s: str) -> str:
 _ACCENTED: dict[str, str] = {}
 for _c in ALPHABET:
     _ACCENTED[base(_c)] = _ACCENTED.get(base(_c), "") + _c
-_KEY = str.maketrans({"1": "i", "|": "i", "l": "i", "0": "o", "5": "s", "@": "a", "9": "g", "6": "b", "8": "b", "e": "c", "t": "f", "h": "b"})
+_SAME = {"1": "i", "|": "i", "l": "i", "0": "o", "5": "s", "@": "a", "9": "g", "6": "b", "8": "b", "e": "c", "t": "f", "h": "b"}
+
+
+def _key_table() -> dict[int, str | None]:
+    out: dict[int, str | None] = {}
+    for i in range(0x2100):
+        c = chr(i)
+        if c.isalpha() or c in _SAME:
+            out[i] = "".join(_SAME.get(x, x) for x in base(c))
+        else:
+            out[i] = None
+    return out
+
+
+_KEY = _key_table()
 
 
 def fuzzy_key(line: str) -> str:
     """Letters of a line under which noisy repetitions agree. Separate figures drop out."""
-    words = [w for w in TOKEN.findall(line) if any(c.isalpha() for c in w) and not re.fullmatch(r"[0-9lIO|]+", w)]
-    s = base("".join(words)).translate(_KEY)
+    s = FIGURES.sub("", line).translate(_KEY)
     return s.replace("rn", "m").replace("ri", "n").replace("ci", "d").replace("ii", "u")
 
 
@@ -103,13 +122,29 @@ def alike(a: str, b: str) -> float:
 class Vocabulary:
     """Ordinary words and compounds with their counts."""
 
-    def __init__(self, words: dict[str, int], compounds: dict[str, int]):
-        self.compounds = compounds
+    def __init__(self, words: dict[str, int], compounds: dict[str, int], series: frozenset[str] = frozenset()):
+        self.compounds, self.series = compounds, series
         self.words = {w: n for w, n in words.items() if w.isalpha() and w == unicodedata.normalize("NFKC", w)}
         shadow = [w for w, n in self.words.items() if len(w) >= 4 and any(self.words.get(c, 0) >= DOMINANCE * n for c in self._near(w))]
         for w in shadow:
             del self.words[w]
+        self._by_key: dict[str, str] = {}
+        for w in sorted(self.words, key=self.words.get):
+            if len(w) >= 3:
+                self._by_key[fuzzy_key(w)] = w
         self._known: dict[str, str | None] = {}
+        self._sound = set(self.words) | {w.capitalize() for w in self.words}
+
+    def sound(self, line: str) -> bool:
+        """True if no token of the line can be a misread word, wherever it stands."""
+        for w in TOKEN.findall(line):
+            if w not in self._sound:
+                if any(c.isalpha() for c in w) and self.meant(w) is not None:
+                    return False
+                if len(self._sound) > 500_000:
+                    self._sound = set(self.words) | {x.capitalize() for x in self.words}
+                self._sound.add(w)
+        return True
 
     @staticmethod
     def _near(w: str) -> Iterator[str]:
@@ -130,23 +165,25 @@ class Vocabulary:
 
     def meant(self, token: str) -> str | None:
         """The ordinary word that a misread token stands for; None if it's ordinary or nothing is near."""
-        w = token.lower()
-        if w in self._known:
-            return self._known[w]
-        out = None
-        if w not in self.words and len(w) >= 2:
-            best = 0
-            for c in self._near(w):
-                if self.words.get(c, 0) > best:
-                    out, best = c, self.words[c]
-            if out is None and len(w) >= 6:
-                for x in self._near(w):
-                    for c in self._near(x):
-                        if self.words.get(c, 0) > best:
-                            out, best = c, self.words[c]
+        if token in self._known:
+            return self._known[token]
+        out, low = None, token.lower()
+        if low not in self.words and len(low) >= 2:
+            out = self._by_key.get(fuzzy_key(low))
+            # names are many: only what can't be one is searched further
+            if out is None and (token[0].islower() or not low.isalpha()):
+                best = 0
+                for c in self._near(low):
+                    if self.words.get(c, 0) > best:
+                        out, best = c, self.words[c]
+                if out is None and len(low) >= 6:
+                    for x in self._near(low):
+                        for c in self._near(x):
+                            if self.words.get(c, 0) > best:
+                                out, best = c, self.words[c]
         if len(self._known) > 300_000:
             self._known.clear()
-        self._known[w] = out
+        self._known[token] = out
         return out
 
     def has(self, word: str) -> int:
@@ -171,6 +208,21 @@ def page_number(line: str) -> tuple[str, int] | None:
     return form, int(plain)
 
 
+ROMAN = re.compile(r"^\W*(?=[ivxlc]+\W*$|[IVXLC]+\W*$)(m{0,3})(c[md]|d?c{0,3})(x[cl]|l?x{0,3})(i[xv]|v?i{0,3})\W*$", re.I)
+
+
+def roman_number(line: str) -> int | None:
+    """The value of a line that is only a Roman number in one case."""
+    s = line.strip()
+    if not s or len(s) > 12 or not ROMAN.match(s):
+        return None
+    value, last = 0, 0
+    for c in reversed([c for c in s.lower() if c.isalpha()]):
+        n = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}[c]
+        value, last = (value - n, last) if n < last else (value + n, n)
+    return value or None
+
+
 def number_chain(found: list[tuple[int, str, int]], gap: int = 8) -> set[int]:
     """Lines of the longest sequence of page numbers in one form that counts up, a page being at least ``gap`` lines."""
     best: list[int] = []
@@ -194,7 +246,7 @@ def number_chain(found: list[tuple[int, str, int]], gap: int = 8) -> set[int]:
     return set(best)
 
 
-def furniture(lines: list[str], title: str | None) -> set[int]:
+def furniture(lines: list[str], title: str | None, words: Vocabulary) -> set[int]:
     """Indexes of running headers, footers and page numbers."""
     filled = [i for i, s in enumerate(lines) if s.strip()]
     if len(filled) < 4:
@@ -203,9 +255,13 @@ def furniture(lines: list[str], title: str | None) -> set[int]:
     feed = {i for i in filled if lines[i].startswith("\f")}
     numbers = []
     for i in filled:
-        x = page_number(lines[i].replace("\f", ""))
-        if x:
-            numbers.append((i, *x))
+        if len(lines[i]) <= 120:
+            s = lines[i].replace("\f", "")
+            x, r = page_number(s), roman_number(s)
+            if r is not None:
+                numbers.append((i, "roman", r))
+            if x and not (r is not None and x[0] == "plain" and s.strip() not in ("ll", "l", "I", "II")):
+                numbers.append((i, *x))
     plain = {i for i, f, _ in numbers if f == "plain"}
     in_table = {i for i in plain if (i - 1 in plain) or (i + 1 in plain)}
     chain = number_chain([x for x in numbers if x[0] not in in_table])
@@ -213,22 +269,33 @@ def furniture(lines: list[str], title: str | None) -> set[int]:
     out |= {i for i, f, _ in numbers if f in ("word", "dash", "slash")}
 
     first = lines[filled[0]]
-    names = [fuzzy_key(x) for x in (title or "", first) if x and len(x) < 200]
-    names = [x for x in names if len(x) >= 8]
+    raw = [x.strip() for x in (title or "", first) if x and x.strip() and len(x) < 200]
+    names = [(fuzzy_key(x), x[:4].lower()) for x in raw]
+    names += [(fuzzy_key(p), p[:4].lower()) for p in PARTS.split(first.strip()) if p != first.strip() and len(p) < 200]
+    names = [x for x in names if len(x[0]) >= 8]
     keys: dict[int, str] = {}
     titled: list[int] = []
+    suffixed: set[int] = set()
+    series: list[int] = []
     for i in filled:
         s = lines[i].strip()
-        if i in out or len(s) > 160 or s[-1] in ".;," and not s.isupper() and i not in feed and not s.endswith(","):
-            continue
-        if s[0].islower() and i not in feed and not any(n[:6] == fuzzy_key(s)[:6] for n in names):
+        if i in out or len(s) > 160 or s[-1] in ".;":
             continue
+        if s[0].islower():
+            h = s[:4].lower()
+            if not any(h[:2] == x[:2] or h[2:] == x[2:] or h[1:3] == x[1:3] for _, x in names):
+                continue
         keys[i] = key = fuzzy_key(s)
-        parts = [key, *(fuzzy_key(p) for p in re.split(r"\s{2,}|\s[—–|]\s", s) if p.strip())]
-        for n in names:
-            if any(len(p) >= 8 and alike(p, n[: len(p)] if len(p) < len(n) else n) >= 0.8 for p in parts):
+        parts = [x for x in (fuzzy_key(p) for p in PARTS.split(s)) if x]
+        if any(p in words.series for p in (key, *parts)):
+            series.append(i)
+        for n, _ in names:
+            if any(len(p) >= 8 and alike(p, n[: len(p)] if len(p) < len(n) else n) >= 0.8 for p in (key, *parts)):
                 titled.append(i)
+                if len(PARTS.split(s)) > 1:
+                    suffixed.add(i)
                 break
+    out |= set(series)
     # the title stands at the start: of the lines like it before any other text the fullest is the title itself
     start = []
     for i in filled:
@@ -236,7 +303,8 @@ def furniture(lines: list[str], title: str | None) -> set[int]:
             continue
         if i not in titled:
             break
-        start.append(i)
+        if i not in suffixed:
+            start.append(i)
     if start:
         real = max(start, key=lambda i: (len(keys[i]), not lines[i].strip().isupper(), i))
         own = {real}
@@ -274,9 +342,9 @@ def furniture(lines: list[str], title: str | None) -> set[int]:
             k = place[i]
             if k + 1 < len(filled) and k and lines[filled[k + 1]].strip()[:1].islower() and i in keys:
                 out.add(i)
-    # a lone plain number at the end of the text or beside a header is a page number too
+    # a lone number at the end of the text or beside a header is a page number too
     for i, form, _ in numbers:
-        if form == "plain" and i not in in_table and i not in out:
+        if form in ("plain", "roman") and i not in in_table and i not in out:
             k = place[i]
             near = [filled[j] for j in (k - 1, k + 1) if 0 <= j < len(filled)]
             if any(j in feed or (j in out and j in keys) for j in near if j > i) or (k == len(filled) - 1 and (out or k > 10)):
@@ -286,8 +354,8 @@ def furniture(lines: list[str], title: str | None) -> set[int]:
 
 def read_scan(text: str, title: str | None, words: Vocabulary) -> tuple[list[tuple[int, str]], list[str]]:
     """(faults as (line, kind), repaired paragraphs) of a text."""
-    lines = text.split("\n")
-    gone = furniture(lines, title)
+    lines = text.replace("_", " ").split("\n")
+    gone = furniture(lines, title, words)
     faults = [(i + 1, "furniture") for i in sorted(gone)]
     body = [i for i in range(len(lines)) if i not in gone]
     filled = [i for i in body if lines[i].strip()]
@@ -321,16 +389,17 @@ def read_scan(text: str, title: str | None, words: Vocabulary) -> tuple[list[tup
     ended = True
     for i in filled:
         s = lines[i]
-        tokens = list(TOKEN.finditer(s))
-        if not tokens:
+        if words.sound(s):
+            ended = s.rstrip()[-1:] in ".!?:"
             continue
+        tokens = list(TOKEN.finditer(s))
         wrong = []
         broken = i in joined or s.rstrip()[-1] in HYPHENS
         for k, t in enumerate(tokens):
             w = t[0]
             opens = ended if k == 0 else s[tokens[k - 1].end() : t.start()].strip()[-1:] in (".", "!", "?", ":", "•") or (
                 k == 0 and s[: t.start()].strip() != "")
-            if (k == 0 and i in half_start) or (broken and t.end() >= len(s.rstrip()) - 1):
+            if not w.strip("@|$") or (k == 0 and i in half_start) or (broken and t.end() >= len(s.rstrip()) - 1):
                 continue
             n = sum(c.isalpha() for c in w)
             if n == 0 or (n < len(w) and n * 2 < len(w)) or w.isupper() and len(w) > 1 and not ended:
@@ -381,29 +450,70 @@ def read_scan(text: str, title: str | None, words: Vocabulary) -> tuple[list[tup
     return faults, [re.sub(r"\s+", " ", p.replace("\u0000", "")).strip() for p in paragraphs]
 
 
+def edge_keys(lines: list[str]) -> Iterator[tuple[str, bool]]:
+    """(key, at an edge) of each part of the lines that may be headers of a series."""
+    edges = {i for i, s in enumerate(lines) if s.startswith("\f") or (len(s) <= 120 and page_number(s))}
+    for i, s in enumerate(lines):
+        t = s.strip()
+        if 6 <= len(t) <= 120 and not t[0].islower() and t[-1] not in ".;,:":
+            near = i in edges or not edges.isdisjoint((i - 1, i + 1, i - 2, i + 2))
+            parts = PARTS.split(t)
+            if near or len(parts) > 1:
+                for p in parts:
+                    key = fuzzy_key(p)
+                    if len(key) >= 8:
+                        yield key, near or len(parts) > 1
+
+
+def without_halves(text: str) -> str:
+    """The text without the halves of words at hyphens before line ends."""
+    parts = LINE_HYPHEN.split(text)
+    for i in range(len(parts) - 1):
+        parts[i] = parts[i][: max(parts[i].rfind(" "), parts[i].rfind("\n")) + 1]
+        rest = parts[i + 1].split(None, 1)
+        parts[i + 1] = rest[1] if len(rest) > 1 else ""
+    return " ".join(parts)
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n: Counter[tuple[bool, str]] = Counter()
+        words: Counter[str] = Counter()
+        compounds: Counter[str] = Counter()
+        series: Counter[str] = Counter()
+        texts = 0
         for text in b.column(0).to_pylist():
-            low = text.lower()
-            n.update((False, w) for w in TOKEN.findall(low))
-            n.update((True, w.replace("‐", "-").replace("‑", "-")) for w in COMPOUND.findall(low))
-        if n:
-            keys = list(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in keys]), pa.array([w for _, w in keys]), pa.array([n[k] for k in keys], pa.int64())],
-                ["compound", "word", "n"],
-            )
+            whole = without_halves(text).lower().replace("_", " ")
+            words.update(TOKEN.findall(whole))
+            for w in whole.split():
+                if "-" in w or "‐" in w:
+                    compounds.update(c.replace("‐", "-").replace("‑", "-") for c in COMPOUND.findall(w))
+            series.update({k for k, _ in edge_keys(text.split("\n"))})
+            texts += 1
+        rows = [("total", "", words.total()), ("texts", "", texts)]
+        for kind, counts in (("word", words), ("compound", compounds), ("series", series)):
+            rows += [(kind, w, n) for w, n in counts.items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], ["kind", "word", "n"]
+        )
 
 
 def vocabulary(texts: DataFrame) -> Vocabulary:
-    """The ordinary words and compounds of ``texts(text)``: at most 1 / MIN_SHARE of each."""
-    counts = texts.select("text").where("text is not null").mapInArrow(_count_batches, "compound boolean, word string, n long")
-    counts = counts.groupBy("compound", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
-    total = texts.select("text").where("text is not null").select(F.size(F.split(F.trim("text"), r"[\s_]+")).alias("n")).agg(F.sum("n")).first()[0]
-    least = max(MIN_COUNT, MIN_SHARE * (total or 0))
-    rows = counts.where(F.col("n") >= least).collect()  # at most 2 / MIN_SHARE rows
-    return Vocabulary({r.word: r.n for r in rows if not r.compound}, {r.word: r.n for r in rows if r.compound})
+    """Ordinary words and compounds, and parts of headers shared by many texts, of ``texts(text)``.
+
+    All are bounded by their shares: at most 1 / MIN_SHARE words, as many
+    compounds, and, a text having few page edges, some 1 / SERIES_SHARE times
+    those of headers.
+    """
+    counts = texts.select("text").where("text is not null").mapInArrow(_count_batches, "kind string, word string, n long")
+    counts = stage(counts.groupBy("kind", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT), "p3-counts")
+    sizes = {r.kind: r.n for r in counts.where("kind in ('total', 'texts')").collect()}
+    least = max(MIN_COUNT, MIN_SHARE * sizes.get("total", 0))
+    shared = max(MIN_COUNT, SERIES_SHARE * sizes.get("texts", 0))
+    floor = F.when(F.col("kind") == "series", shared).otherwise(least)
+    by: dict[str, dict[str, int]] = {"word": {}, "compound": {}, "series": {}}
+    for r in counts.where(F.col("kind").isin(*by) & (F.col("n") >= floor)).collect():
+        by[r.kind][r.word] = r.n
+    return Vocabulary(by["word"], by["compound"], frozenset(by["series"]))
 
 
 def _read(texts: DataFrame, words: Vocabulary, repaired: bool) -> DataFrame:
