@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions import units
 from granary.functions.urls import site
 from granary.operators import clocks, quantities, records
 from granary.plans.staging import stage
@@ -95,4 +96,39 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_bridge, p4_found, p4_normalised, p4_histories, p5_found, p5_normalised)}
-SQL: dict[str, str] = {}
+
+
+def _p5_sql() -> str:
+    """The stated part of p5 in SQL; the tables of spellings are those of ``granary.functions.units``."""
+    values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
+    spelt = values((w, label) for label, words in units.SPELLINGS.items() for w in words.split())
+    counting = ", ".join(f"('{k}', {v})" for k, v in units.COUNTING.items())
+    empty = ", ".join(f"'{x}'" for x in units.PLACEHOLDERS)
+    fold = lambda c: f"lower(strip_accents(trim(regexp_replace({c}, '\\s+', ' ', 'g'))))"
+    number = "([0-9]+(?:[.,][0-9]+)?)"
+    first, package = f"^(?:x ?)?{number} ?([a-z]+)(?: ?(?:/|par|le|la) ?[a-z]+)?$", f"^[a-z]+ ?(?:de|d''|/|_|-|:|x|a)? ?{number} ?([a-z]+)$"
+    counted, named = "^([a-z]+?)s? (?:de |d'')([a-z]+)$", "^(.*?)(?: / |,? cond\\.? | - en | en |\\(|\\[)([^()\\[\\]]+?)[)\\]]?$"
+    return f"""
+with spelt(word, label) as (values {spelt}), counting(word, times) as (values {counting}),
+s as (select distinct stock_id, farm_id, trim(regexp_replace(item_name, '\\s+', ' ', 'g')) as item, unit, quantity,
+  unit is null or {fold('unit')} in ({empty}) as empty from stocks where quantity is not null and not isnan(quantity)),
+t as (select *, nullif(regexp_extract(item, '{named}', 2), '') as suffix from s),
+u as (select *, {fold("case when suffix is null then item else regexp_extract(item, '" + named + "', 1) end")} as name,
+  regexp_replace({fold('case when empty then suffix else unit end')}, '\\((?:s|x|es)\\)|\\.$', '', 'g') as w from t),
+v as (select u.*, case when regexp_matches(w, '{first}') then regexp_extract(w, '{first}', 2) when regexp_matches(w, '{counted}') and k.times is not null
+   then regexp_extract(w, '{counted}', 2) when regexp_matches(w, '{package}') then regexp_extract(w, '{package}', 2) else w end as word,
+  case when regexp_matches(w, '{first}') then cast(replace(regexp_extract(w, '{first}', 1), ',', '.') as double)
+   when regexp_matches(w, '{counted}') and k.times is not null then k.times
+   when regexp_matches(w, '{package}') then cast(replace(regexp_extract(w, '{package}', 1), ',', '.') as double) else 1.0 end as times
+  from u left join counting k on k.word = regexp_extract(w, '{counted}', 1)),
+x as (select v.*, coalesce(spelt.label, v.word) as label from v left join spelt on spelt.word = v.word),
+y as (select x.*, z.region from x left join farms f on f.farm_id = x.farm_id left join zones z on z.zone_id = f.zone_id)
+select distinct stock_id, coalesce(i.base_unit, g.base_unit, r.base_unit) as base_unit,
+ cast(round(cast(quantity as decimal(14, 6)) * cast(coalesce(i.factor, g.factor, r.factor) * times as decimal(16, 6)) * 1000, 0) as bigint) as base_milli
+from y left join unit_reference r on r.unit_label = label and r.item_name is null and r.region is null
+left join unit_reference i on i.unit_label = label and lower(strip_accents(i.item_name)) = name
+left join unit_reference g on g.unit_label = label and g.region = y.region
+where coalesce(i.factor, g.factor, r.factor) is not null"""
+
+
+SQL: dict[str, str] = {"p5_found": _p5_sql()}
