@@ -124,7 +124,7 @@ v as (select u.*, case when regexp_matches(w, '{first}') then regexp_extract(w,
 x as (select v.*, coalesce(spelt.label, v.word) as label from v left join spelt on spelt.word = v.word),
 y as (select x.*, z.region from x left join farms f on f.farm_id = x.farm_id left join zones z on z.zone_id = f.zone_id)
 select distinct stock_id, coalesce(i.base_unit, g.base_unit, r.base_unit) as base_unit,
- cast(round(cast(quantity as decimal(14, 6)) * cast(coalesce(i.factor, g.factor, r.factor) * times as decimal(16, 6)) * 1000, 0) as bigint) as base_milli
+ cast(round(cast(quantity as decimal(14, 6)) * cast(coalesce(i.factor, g.factor, r.factor) * times * 1000 as decimal(18, 3)), 0) as bigint) as base_milli
 from y left join unit_reference r on r.unit_label = label and r.item_name is null and r.region is null
 left join unit_reference i on i.unit_label = label and lower(strip_accents(i.item_name)) = name
 left join unit_reference g on g.unit_label = label and g.region = y.region
