@@ -13,6 +13,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: elements that hold no text of the page, blocks of text, and containers of the main text
 NOISE = {"script", "style", "noscript", "nav", "header", "footer", "aside", "form", "template", "svg"}
@@ -21,6 +22,14 @@ CONTAINERS = ("main", "article")
 DATA_FILES = {"csv": "CSV", "xls": "Excel", "xlsx": "Excel", "json": "JSON", "geojson": "GeoJSON", "zip": "ZIP", "pdf": "PDF", "shp": "Shapefile", "xml": "XML"}
 
 
+def _texts(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+LINK = T.StructType([*_texts("url", "text", "kind").fields, T.StructField("same_host", T.BooleanType())])
+BLOCK_LIST = T.StructType([T.StructField("title", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType()))])
+
+
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -120,7 +129,7 @@ def _text(x) -> str | None:
     return str(x) if x not in (None, "") else None
 
 
-@F.pandas_udf("title string, author string, published string, description string, content string")
+@F.pandas_udf(_texts("title", "author", "published", "description", "content"))
 def article(pages: pd.Series) -> pd.DataFrame:
     """Fields of an article: linked data goes before Open Graph, that before meta tags; paragraphs over 20 characters."""
     out = []
@@ -135,14 +144,14 @@ def article(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["title", "author", "published", "description", "content"])
 
 
-@F.pandas_udf("title string, blocks array<string>")
+@F.pandas_udf(BLOCK_LIST)
 def blocks(pages: pd.Series) -> pd.DataFrame:
     """Title and the first ten blocks over 20 characters."""
     rows = [(r.title.strip() or None, [t for _, _, t in r.blocks if len(t) > 20][:10]) for r in map(read, pages)]
     return pd.DataFrame(rows, columns=["title", "blocks"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def report(pages: pd.Series) -> pd.Series:
     """Text of the first container that holds any, else of the page; null under 200 characters."""
     out = []
@@ -153,7 +162,7 @@ def report(pages: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("array<struct<url:string, text:string, kind:string, same_host:boolean>>")
+@F.pandas_udf(T.ArrayType(LINK))
 def links(pages: pd.Series, urls: pd.Series) -> pd.Series:
     """Links of a page, absolute, without fragments, first of each url: pdf, document, data or page."""
     out = []
@@ -176,7 +185,7 @@ def links(pages: pd.Series, urls: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def pairs(pages: pd.Series) -> pd.Series:
     """Label and value pairs of a catalogue page."""
     return pd.Series([dict(read(p).pairs) for p in pages], dtype=object)

@@ -50,13 +50,14 @@ def sessions(messages: DataFrame, key: str, time: str = "ts", gap: str = "30 min
 
 
 def state_machine(
-    moves: DataFrame, key: str, legal: dict[str, tuple[str, ...]], first: str, limited: dict[str, int], timeout_ms: int = 3_600_000
+    moves: DataFrame, key: str, legal: dict[str, tuple[str, ...]], first: str, limited: dict[str, int], timeout_ms: int = 3_600_000,
+    late: str = "10 minutes",
 ) -> DataFrame:
     """(key, state, turns, ok) after each move of ``moves(key, move, ts)``.
 
     ``legal`` maps a state to the moves it takes; a move's name is the state it
     leads to. ``limited`` bounds how often a move may be taken. Illegal moves
-    change nothing. A key without moves for ``timeout_ms`` ends as TIMED_OUT.
+    change nothing. A key without moves for ``timeout_ms`` of event time ends as TIMED_OUT.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -76,14 +77,14 @@ def state_machine(
             out.append((k[0], at, turns, bool(ok)))
         if legal.get(at):
             state.update((at, turns, used))
-            state.setTimeoutDuration(timeout_ms)
+            state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + timeout_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=[key, "state", "turns", "ok"])
 
-    return moves.groupBy(key).applyInPandasWithState(
+    return moves.withWatermark("ts", late).groupBy(key).applyInPandasWithState(
         step, f"{key} string, state string, turns int, ok boolean", "state string, turns int, used int", "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> None:

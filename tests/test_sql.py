@@ -28,10 +28,12 @@ def con():
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)) or str(v) == "NaT":
+    if v is None or (isinstance(v, float) and math.isnan(v)) or str(v) in ("NaT", "<NA>"):
         return None
     if isinstance(v, bool) or type(v).__name__ == "bool":
         return str(bool(v))
+    if hasattr(v, "__len__"):
+        return str(list(v)) if not isinstance(v, str) else v
     try:
         return f"{float(v):.8g}"
     except (TypeError, ValueError):
