@@ -25,13 +25,14 @@ PRICES = "prices map<string, struct<aliases:array<string>, price:double, volatil
 def weather(spark: SparkSession, path: str) -> DataFrame:
     """(zone, latitude, longitude, day, t_max, t_min, rain, et0) of column-oriented files, one row per day.
 
-    Arrays of unequal length are padded with nulls.
+    Arrays of unequal length, and missing ones, are padded with nulls.
     """
     raw = spark.read.schema(WEATHER).option("multiLine", True).json(path)
-    d = F.col("daily")
-    rows = F.arrays_zip(
-        d["time"].alias("time"), d["temperature_2m_max"].alias("t_max"), d["temperature_2m_min"].alias("t_min"),
-        d["precipitation_sum"].alias("rain"), d["et0_fao_evapotranspiration"].alias("et0"))
+    names = {
+        "time": "time", "temperature_2m_max": "t_max", "temperature_2m_min": "t_min", "precipitation_sum": "rain", "et0_fao_evapotranspiration": "et0",
+    }
+    # a missing array counts as an empty one; arrays_zip would make the whole file null
+    rows = F.arrays_zip(*[F.coalesce(F.col(f"daily.{k}"), F.array()).alias(v) for k, v in names.items()])
     long = raw.select("metadata", F.explode(rows).alias("r"))
     return long.select(
         F.col("metadata.zone_name").alias("zone"), "metadata.latitude", "metadata.longitude", F.col("r.time").try_cast("date").alias("day"),
