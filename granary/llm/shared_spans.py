@@ -230,22 +230,25 @@ def shared(
     few = classes.where(F.col("n").between(2, hot))
     x, y = few.alias("x"), few.alias("y")
     same_path = (F.col("x.h") == F.col("y.h")) & (F.col("x.body") == F.col("y.body"))
-    pairs = x.join(y, same_path & (F.col("x.cls") < F.col("y.cls"))).select(
+    # two classes of one and the same record share nothing with another
+    apart = F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi")
+    pairs = x.join(y, same_path & apart & (F.col("x.cls") < F.col("y.cls"))).select(
         F.col("x.cls").alias("class_a"), F.col("y.cls").alias("class_b"), F.col("x.size").alias("size"),
         F.col("x.lt").alias("la"), F.col("x.rt").alias("ra"), F.col("y.lt").alias("lb"), F.col("y.rt").alias("rb"),
     )
     compared = pairs.mapInArrow(_compare_batches(min_len), "class_a string, class_b string, l int, r int")
-    many = classes.where(F.col("n") > hot).select("h", "body", "cls", "size", "lt", "rt")
-    keys = many.mapInArrow(_window_batches(min_len), "key binary, cls string, l int")
-    rep = keys.groupBy("key").agg(F.min("cls").alias("rep"), F.max("cls").alias("other"), F.max("l").alias("l"))
+    many = classes.where(F.col("n") > hot)
+    keys = many.select("h", "body", "cls", "size", "lt", "rt").mapInArrow(_window_batches(min_len), "key binary, cls string, l int")
+    keys = keys.join(many.select("cls", "lo", "hi", "size"), "cls")
+    rep = keys.groupBy("key").agg(F.min("cls").alias("rep"), F.max("cls").alias("other"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rep = rep.where("rep < other and lo < hi").select("key", "rep")
     # a star per key is enough for coverage; pairs() expands by key where pairs are the result
-    star = keys.join(rep.where("rep < other").select("key", "rep"), "key").where("cls <> rep")
-    star = star.join(many.select("cls", "size"), "cls").select(
+    star = keys.join(rep, "key").where("cls <> rep").select(
         F.col("rep").alias("class_a"), F.col("cls").alias("class_b"), "l",
         F.greatest(F.lit(0), F.lit(min_len) - F.col("size") - F.col("l")).cast("int").alias("r"),
     )
     occurrences = c.select("cls", "doc", "start", "end")
-    hot_keys = keys.join(rep.where("rep < other").select("key"), "key", "left_semi").select("key", "cls")
+    hot_keys = keys.join(rep, "key", "left_semi").select("key", "cls")
     return occurrences, alone.unionByName(compared).unionByName(star), hot_keys
 
 
