@@ -100,10 +100,10 @@ def doc_type_from_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 @C.query("""
-select doc_id, list_sort(list_distinct(regexp_extract_all(lower(strip_accents(text)), 'mil|mais|sorgho|riz|niebe|coton|sesame|arachide'))) as crops from documents""")
+select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(strip_accents(text)), 'mil|mais|sorgho|riz|niebe|coton|sesame|arachide'))), ',') as crops from documents""")
 def tag_entities(spark: SparkSession, d: str) -> DataFrame:
     """Crops named in a text, without word boundaries, sorted."""
-    return docs(spark, d).select("doc_id", retrieval.tags(F.col("text"), retrieval.CROPS).alias("crops"))
+    return docs(spark, d).select("doc_id", F.array_join(retrieval.tags(F.col("text"), retrieval.CROPS), ",").alias("crops"))
 
 
 @C.query("""
