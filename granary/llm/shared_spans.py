@@ -17,7 +17,8 @@ Method: de Bruijn compaction over a sparse, exact set of k-mers.
   each side are cut from the source, occurrences with equal text and context
   form a class, and classes are compared character by character. Paths with
   more than ``hot`` classes aren't compared pairwise: each window of min_len
-  characters over such a path becomes a key and only equal keys meet.
+  characters over such a path and each longer reach to one side becomes a key,
+  and only equal keys meet; the longest reaches that meet are exact.
 
 Null, empty and shorter texts share nothing. Records with equal ids count as
 one record. A span repeated within one record alone isn't shared.
@@ -173,22 +174,37 @@ def _compare_batches(min_len: int):
     return run
 
 
-def _window_batches(min_len: int):
+def _reaches(size: int, left: int, right: int, min_len: int) -> Iterator[tuple[int, int, bool]]:
+    """(l, r, window): the least span that proves a reach of l to the left, and one that proves r to the right.
+
+    Windows have exactly min_len characters (or are the path alone if it has as many); l and r beyond them need
+    nothing on the other side.
+    """
+    need = max(0, min_len - size)
+    for n in range(max(0, need - right), min(need, left) + 1):
+        yield n, need - n, True
+    for n in range(need + 1, left + 1):
+        yield n, 0, False
+    for n in range(need + 1, right + 1):
+        yield 0, n, False
+
+
+def _key_batches(min_len: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, cls, off = [], [], []
+            key, cls, ls, rs, windows = [], [], [], [], []
             for h, body, c, size, left, right in zip(*(x.to_pylist() for x in b.columns)):
-                need = max(0, min_len - size)
-                for n in range(need + 1):
-                    if n <= len(left) and need - n <= len(right):
-                        cut = f"{h}|{body}|{n}|{left[len(left) - n:]}|{right[: need - n]}"
-                        key.append(hashlib.md5(cut.encode("utf-8", "surrogatepass")).digest())
-                        cls.append(c)
-                        off.append(n)
+                for n, m, window in _reaches(size, len(left), len(right), min_len):
+                    cut = f"{h}|{body}|{n}|{left[len(left) - n:]}|{right[:m]}"
+                    key.append(hashlib.md5(cut.encode("utf-8", "surrogatepass")).digest())
+                    cls.append(c)
+                    ls.append(n)
+                    rs.append(m)
+                    windows.append(window)
             if key:
+                kinds = (pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.binary()), pa.array(cls, pa.string()), pa.array(off, pa.int32())],
-                    ["key", "cls", "l"],
+                    [pa.array(c, t) for c, t in zip((key, cls, ls, rs, windows), kinds)], ["key", "cls", "l", "r", "window"]
                 )
 
     return run
@@ -203,8 +219,10 @@ def shared(
     links(class_a, class_b, l, r): classes whose occurrences share a span of at
     least min_len characters, which reaches l characters before and r after the
     path; a class of several records is linked to itself.
-    hot_keys(key, cls): windows of min_len characters over paths of many classes;
-    classes with an equal key share that window.
+    hot_keys(key, cls, l, r, window): spans over paths of many classes; classes
+    with an equal key share that span, which reaches l characters before and r
+    after the path. Windows have min_len characters and tell which classes meet;
+    the longer spans tell how far they go on.
     """
     docs = docs.where("doc is not null and text is not null")
     a = stage(anchors(docs, min_len), "p10-anchors")
@@ -238,18 +256,15 @@ def shared(
     )
     compared = pairs.mapInArrow(_compare_batches(min_len), "class_a string, class_b string, l int, r int")
     many = classes.where(F.col("n") > hot)
-    keys = many.select("h", "body", "cls", "size", "lt", "rt").mapInArrow(_window_batches(min_len), "key binary, cls string, l int")
-    keys = keys.join(many.select("cls", "lo", "hi", "size"), "cls")
-    rep = keys.groupBy("key").agg(F.min("cls").alias("rep"), F.max("cls").alias("other"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    rep = rep.where("rep < other and lo < hi").select("key", "rep")
-    # a star per key is enough for coverage; pairs() expands by key where pairs are the result
-    star = keys.join(rep, "key").where("cls <> rep").select(
-        F.col("rep").alias("class_a"), F.col("cls").alias("class_b"), "l",
-        F.greatest(F.lit(0), F.lit(min_len) - F.col("size") - F.col("l")).cast("int").alias("r"),
+    keys = many.select("h", "body", "cls", "size", "lt", "rt").mapInArrow(
+        _key_batches(min_len), "key binary, cls string, l int, r int, window boolean"
     )
+    keys = stage(keys.join(many.select("cls", "lo", "hi"), "cls"), "p10-keys")
+    common = keys.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("other"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    common = common.where("first < other and lo < hi").select("key")
     occurrences = c.select("cls", "doc", "start", "end")
-    hot_keys = keys.join(rep, "key", "left_semi").select("key", "cls")
-    return occurrences, alone.unionByName(compared).unionByName(star), hot_keys
+    hot_keys = keys.join(common, "key", "left_semi").select("key", "cls", "l", "r", "window")
+    return occurrences, alone.unionByName(compared), hot_keys
 
 
 def shared_pairs(docs: DataFrame, min_len: int = 200) -> DataFrame:
@@ -262,7 +277,7 @@ def shared_pairs(docs: DataFrame, min_len: int = 200) -> DataFrame:
         .join(x, F.col("class_a") == F.col("x.cls")).join(y, F.col("class_b") == F.col("y.cls"))
         .select(F.least("x.doc", "y.doc").alias("doc_a"), F.greatest("x.doc", "y.doc").alias("doc_b"))
     )
-    keyed = hot_keys.join(members, "cls").select("key", "doc").distinct()
+    keyed = hot_keys.where("window").join(members, "cls").select("key", "doc").distinct()
     by_key = keyed.alias("x").join(keyed.alias("y"), F.col("x.key") == F.col("y.key")).where(
         F.col("x.doc") < F.col("y.doc")
     ).select(F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"))
@@ -275,10 +290,11 @@ def coverage(docs: DataFrame, min_len: int = 200) -> DataFrame:
     Overlapping shared spans of one record count once. Spans reach at most
     min_len characters beyond a path; longer ones go on with the next path.
     """
-    occ, links, _ = shared(docs, min_len)
+    occ, links, hot_keys = shared(docs, min_len)
     reach = (
         links.select(F.col("class_a").alias("cls"), "l", "r")
         .unionByName(links.select(F.col("class_b").alias("cls"), "l", "r"))
+        .unionByName(hot_keys.select("cls", "l", "r"))
         .groupBy("cls").agg(F.max("l").alias("l"), F.max("r").alias("r"))
     )
     spans = occ.join(reach, "cls").select("doc", (F.col("start") - F.col("l")).alias("s"), (F.col("end") + F.col("r")).alias("e"))

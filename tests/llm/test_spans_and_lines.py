@@ -70,6 +70,24 @@ def test_hot_paths_by_windows(spark, monkeypatch):
     assert {tuple(r) for r in shared_spans.shared_pairs(df, 36).collect()} == brute(t, 36)[0]
 
 
+@pytest.mark.parametrize("size", [10, 30, 60])
+def test_coverage_of_hot_paths_is_exact(spark, monkeypatch, size):
+    rnd = random.Random(size)
+    some = lambda n: "".join(rnd.choice("abcdef") for _ in range(n))
+    core, lefts, rights = some(size), [some(70) for _ in range(4)], [some(70) for _ in range(4)]
+    t = {}
+    for i in range(60):  # some share more text around the core, on one side or both
+        left = rnd.choice(lefts)[rnd.randint(0, 69) :] if rnd.random() < 0.6 else ""
+        right = rnd.choice(rights)[: rnd.randint(0, 69)] if rnd.random() < 0.6 else ""
+        t[i] = some(40) + left + core + right + some(40)
+    t[60] = some(50) + core + some(50) + core + some(50)
+    monkeypatch.setattr(shared_spans.shared, "__defaults__", (200, 4))
+    df = spark.createDataFrame(list(t.items()), "doc long, text string")
+    pairs, cover = brute(t, 36)
+    assert {r.doc: r.shared_chars for r in shared_spans.coverage(df, 36).collect()} == cover
+    assert {tuple(r) for r in shared_spans.shared_pairs(df, 36).collect()} == pairs
+
+
 def test_empty_spans(spark):
     assert shared_spans.shared_pairs(spark.createDataFrame([], "doc long, text string"), 200).count() == 0
 
