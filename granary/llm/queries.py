@@ -134,6 +134,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10.shared_pairs(_documents(spark, d), 200)
 
 
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The passages of each document that stand in others too: characters from start (0 is the first) to before end."""
+    return p10.merged_spans(_documents(spark, d), 200).withColumnRenamed("doc", "doc_id")
+
+
 def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     """For each document, how much of its text is shared with others."""
     return p10.coverage(_documents(spark, d), 200).withColumnRenamed("doc", "doc_id")
@@ -141,7 +146,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of this package by name."""
-    own = (p1_found, p1_body, p3_found, p3_repaired, p6_found, p6_cleaned, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_coverage)
+    own = (p1_found, p1_body, p3_found, p3_repaired, p6_found, p6_cleaned, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_spans, p10_coverage)
     return {f.__name__: f for f in own}
 
 

@@ -284,11 +284,11 @@ def shared_pairs(docs: DataFrame, min_len: int = 200) -> DataFrame:
     return by_class.unionByName(by_key).where("doc_a < doc_b").distinct()
 
 
-def coverage(docs: DataFrame, min_len: int = 200) -> DataFrame:
-    """(doc, n_chars, shared_spans, shared_chars, shared_share) for every record with text.
+def merged_spans(docs: DataFrame, min_len: int = 200) -> DataFrame:
+    """(doc, start, end): the shared passages of each record, from 0 and without the end, overlapping ones as one.
 
-    Overlapping shared spans of one record count once. Spans reach at most
-    min_len characters beyond a path; longer ones go on with the next path.
+    Spans reach at most min_len characters beyond a path; longer ones go on with
+    the next path.
     """
     occ, links, hot_keys = shared(docs, min_len)
     reach = (
@@ -300,10 +300,18 @@ def coverage(docs: DataFrame, min_len: int = 200) -> DataFrame:
     spans = occ.join(reach, "cls").select("doc", (F.col("start") - F.col("l")).alias("s"), (F.col("end") + F.col("r")).alias("e"))
     w = W.partitionBy("doc").orderBy("s", "e")
     before = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
-    spans = spans.select("doc", "s", "e", before.alias("before"))
-    merged = spans.groupBy("doc").agg(
-        F.count_if(F.col("before").isNull() | (F.col("s") > F.col("before"))).alias("shared_spans"),
-        F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce("before", "s")))).alias("shared_chars"),
+    spans = spans.select("doc", "s", "e", F.when(F.col("s") <= before, 0).otherwise(1).alias("new"))
+    spans = spans.withColumn("passage", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return spans.groupBy("doc", "passage").agg(F.min("s").alias("start"), F.max("e").alias("end")).select("doc", "start", "end")
+
+
+def coverage(docs: DataFrame, min_len: int = 200) -> DataFrame:
+    """(doc, n_chars, shared_spans, shared_chars, shared_share) for every record with text.
+
+    Overlapping shared spans of one record count once.
+    """
+    merged = merged_spans(docs, min_len).groupBy("doc").agg(
+        F.count("*").alias("shared_spans"), F.sum(F.col("end") - F.col("start")).alias("shared_chars")
     )
     sizes = docs.where("doc is not null and text is not null").groupBy("doc").agg(F.max(F.length("text")).alias("n_chars"))
     return sizes.join(merged, "doc", "left").select(

@@ -88,6 +88,23 @@ def test_coverage_of_hot_paths_is_exact(spark, monkeypatch, size):
     assert {tuple(r) for r in shared_spans.shared_pairs(df, 36).collect()} == pairs
 
 
+def test_passages_have_places(spark):
+    t = texts(1)
+    want = set()
+    for i, text in t.items():
+        m = [any(text[p : p + 40] in u for j, u in t.items() if j != i) for p in range(len(text) - 39)]
+        at = [p for p, x in enumerate(m) if x]
+        for k, p in enumerate(at):
+            if k == 0 or p > at[k - 1] + 40:
+                start = p
+            if k + 1 == len(at) or at[k + 1] > p + 40:
+                want.add((i, start, p + 40))
+    df = spark.createDataFrame(list(t.items()), "doc long, text string")
+    got = shared_spans.merged_spans(df, 40)
+    assert got.columns == ["doc", "start", "end"] and "p10_spans" in queries.queries()
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_empty_spans(spark):
     assert shared_spans.shared_pairs(spark.createDataFrame([], "doc long, text string"), 200).count() == 0
 
