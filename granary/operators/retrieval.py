@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.text import strip_accents
+from granary.operators.relational import top_k
+from granary.plans.staging import stage
 
 # fixed values: crops to tag, folded
+BLOCK = 1024  # vectors in a block
 CROPS = "mil|mais|sorgho|riz|niebe|coton|sesame|arachide"
 
 
@@ -69,3 +76,56 @@ def search(df: DataFrame, vector: str, query: list[float], k: int) -> DataFrame:
     q = F.array(*[F.lit(x) for x in query])
     key = "vec_id" if "vec_id" in df.columns else df.columns[0]
     return df.withColumn("score", inner_product(F.col(vector), q)).orderBy(F.desc(F.round("score", 5)), key).limit(k)
+
+
+def _block_batches(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, size):
+                x = b.slice(i, size)
+                m = np.array(x.column(1).to_pylist(), np.float64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())], ["ids", "matrix"]
+                )
+
+    return run
+
+
+def _blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(ids, matrix): rows of at most BLOCK vectors."""
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(rows.mapInArrow(_block_batches(BLOCK), "ids array<long>, matrix binary").repartition(parts), "vector-blocks")
+
+
+def _score_batches(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for q_ids, q, e_ids, e in zip(*(c.to_pylist() for c in b.columns)):
+                q_ids, e_ids = np.array(q_ids, np.int64), np.array(e_ids, np.int64)
+                scores = np.frombuffer(q).reshape(len(q_ids), -1) @ np.frombuffer(e).reshape(len(e_ids), -1).T
+                scores = np.sign(scores) * np.floor(np.abs(scores) * 1e5 + 0.5) / 1e5
+                for i, s in zip(q_ids, scores):
+                    s = np.where(e_ids == i, -np.inf, s)
+                    best = np.lexsort((e_ids, -s))[:k]
+                    out += [(i, e_ids[j], s[j]) for j in best if e_ids[j] != i]
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(c), t) for c, t in zip(zip(*out), kinds)], ["query_id", "vec_id", "score"]
+                )
+
+    return run
+
+
+def search_all(queries: DataFrame, df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): for each query the k other rows of greatest inner product, scores to 5 places.
+
+    Blocks of queries meet blocks of rows in matrix products; k hits of each query
+    and block are merged. Equal scores go by id.
+    """
+    q, e = _blocks(queries, key, vector), _blocks(df, key, vector)
+    pairs = q.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")).crossJoin(e)
+    hits = pairs.mapInArrow(_score_batches(k), "query_id long, vec_id long, score double")
+    return top_k(hits, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)

@@ -212,6 +212,35 @@ def vector_topk_rerank(spark: SparkSession, d: str) -> DataFrame:
     return found.select("vec_id", second.alias("reranked")).orderBy(F.desc("reranked"), "vec_id").limit(5)
 
 
+@C.query("""
+with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+s as (select q.vec_id as query_id, e.vec_id, round(list_inner_product(e.v, q.v), 5) as score from e join e q on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id)
+select * from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10""")
+def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    """Exact inner-product search for every query vector, those with an id divisible by 20."""
+    e = table(spark, d, "embeddings")
+    return retrieval.search_all(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 10).drop("rank")
+
+
+@C.query("""
+with e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+s as (select q.vec_id as query_id, e.vec_id, e.label = q.label as same, round(list_inner_product(e.v, q.v), 5) as score
+ from e join e q on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id),
+t as (select * from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20),
+u as (select query_id, vec_id, score + case when same then 1 else 0 end as reranked from t)
+select * from u qualify row_number() over (partition by query_id order by reranked desc, vec_id) <= 5""")
+def vector_topk_rerank_all(spark: SparkSession, d: str) -> DataFrame:
+    """Search for every query vector, then a second score over the first results of each."""
+    e = table(spark, d, "embeddings")
+    found = retrieval.search_all(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 20)
+    labels = e.select("vec_id", "label")
+    queries = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
+    found = found.join(labels, "vec_id").join(queries, "query_id")
+    second = F.col("score") + F.when(F.col("label") == F.col("query_label"), 1).otherwise(0)
+    found = found.select("query_id", "vec_id", second.alias("reranked"))
+    return top_k(found, ["query_id"], [F.desc("reranked"), F.asc("vec_id")], 5).drop("rank")
+
+
 @C.query("""
 with s as (select label, vec_id, round(list_inner_product(list_transform(embedding, lambda x: cast(x as double)), list_transform(embedding, lambda x: cast(x as double))), 5) as norm from embeddings)
 select label, vec_id, norm, r as rank from (select *, row_number() over (partition by label order by norm desc, vec_id) r from s) where r <= 3""")

@@ -1,10 +1,11 @@
 """Relational blocks, prefix sums, staging, sinks, profiles, graphs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from granary.functions.urls import host, site
-from granary.operators import graph, profiles, textops
+from granary.operators import graph, profiles, retrieval, textops
 from granary.operators import relational as R
 from granary.operators.prefix import prefix_sum
 from granary.operators.retrieval import sentence_chunks
@@ -118,3 +119,15 @@ def test_sentence_chunks(spark):
     df = spark.createDataFrame([(1, "Un. Deux deux. Trois trois trois. " + "q" * 40 + "."), (2, ""), (3, None)], "id int, t string")
     got = [(r.id, r.chunk) for r in sentence_chunks(df, "t", 20).orderBy("id", "chunk_no").collect()]
     assert got == [(1, "Un. Deux deux."), (1, "Trois trois trois."), (1, "q" * 40 + ".")]
+
+
+def test_search_takes_every_query_and_row(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    rnd = np.random.default_rng(5)
+    v = rnd.integers(-3, 4, (130, 8)).astype(float)  # many equal scores
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(500, None)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in retrieval.search_all(df.where("vec_id % 20 = 0"), df, "vec_id", "embedding", 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = {q: sorted(((i, float(v[i] @ v[q])) for i in range(130) if i != q), key=lambda x: (-x[1], x[0]))[:4] for q in range(0, 130, 20)}
+    assert got == want
