@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.text import strip_accents
@@ -48,6 +52,21 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip_accents(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def _normalised_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for t in b.column(1).to_pylist():
+            t = unicodedata.normalize("NFKD", (t or "").lower().strip())
+            out.append(t if t.isascii() else "".join(c for c in t if unicodedata.category(c) != "Mn"))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["id", "key"])
+
+
+def normalised(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key column, key): each text in lower case, trimmed, NFKD without marks; no built-in decomposes."""
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("id"), text).mapInArrow(_normalised_batches, f"id {kind}, key string").withColumnRenamed("id", key)
+
+
 def safe_name(text: Column) -> Column:
     """A file name without reserved characters."""
     return F.regexp_replace(text, r'[<>:"/\\|?*]', "_")

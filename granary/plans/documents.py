@@ -61,6 +61,12 @@ def accent_normalise(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).where("lang in ('fr', 'en')").select("doc_id", F.lower(strip_accents(F.substring("text", 1, 80))).alias("key"))
 
 
+@C.query()
+def accent_normalise_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every whole text trimmed, in lower case, compatibility forms decomposed, without accents; null is empty."""
+    return textops.normalised(docs(spark, d), "doc_id", "text")
+
+
 @C.query("""
 select doc_id, cast(floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) * 1.3) as integer) as tokens,
  len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) < 5 as vague from documents""")
@@ -78,6 +84,14 @@ def sms_segments(spark: SparkSession, d: str) -> DataFrame:
     return short.select("doc_id", F.explode(textops.segments(F.col("text"), 160)).alias("segment"))
 
 
+@C.query("""
+select doc_id, unnest([substr(text, i * 160 + 1, 160) for i in generate_series(0, (length(text) - 1) // 160)]) as segment from documents where length(text) >= 1""")
+def sms_segments_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, of any length, cut into segments of 160 characters."""
+    t = docs(spark, d).where(F.length("text") >= 1)
+    return t.select("doc_id", F.explode(textops.segments(F.col("text"), 160)).alias("segment"))
+
+
 @C.query("""
 select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as preview,
  substr(trim(replace(text, chr(10), ' ')), 1, 500) as csv_content from documents""")
@@ -140,6 +154,15 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", textops.slug(F.substring(t, 1, 60)).alias("slug"), textops.safe_name(F.substring(t, 1, 40)).alias("file_name"))
 
 
+@C.query("""
+select doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') as slug,
+ substr(regexp_replace(text, '[<>:"/\\\\|?*]', '_', 'g'), 1, 70) as file_name from documents""")
+def slugs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Slugs and safe file names of every text; only the file name is cut, to 70 characters after it is cleaned."""
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", textops.slug(t).alias("slug"), F.substring(textops.safe_name(t), 1, 70).alias("file_name"))
+
+
 @C.query("""
 select doc_id, len(regexp_extract_all(text, '[0-9]+([.,][0-9]+)?')) as numbers, len(regexp_extract_all(lower(text), 'environ|peut-être|about|maybe')) as hedges from documents""")
 def suspicious_numbers(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from granary.operators import graph, profiles, retrieval, textops
 from granary.operators import relational as R
 from granary.operators.prefix import prefix_sum
 from granary.operators.retrieval import sentence_chunks
+from granary.plans import documents
 from granary.plans.staging import bounded_broadcast, stage
 from granary.sources import sinks
 
@@ -131,3 +132,17 @@ def test_search_takes_every_query_and_row(spark, monkeypatch):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     want = {q: sorted(((i, float(v[i] @ v[q])) for i in range(130) if i != q), key=lambda x: (-x[1], x[0]))[:4] for q in range(0, 130, 20)}
     assert got == want
+
+
+def test_texts_are_taken_whole(spark, tmp_path):
+    long = "Été à Pô: " * 200  # 2000 characters
+    rows = [(1, long, "fr"), (2, "  Le Maïs\u00a0ﬁn ½ \n", None), (3, "", "xx"), (4, None, "fr"), (5, "-" * 90 + "A?b", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = lambda f: f(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.key for r in q(documents.accent_normalise_all)} == {
+        1: ("ete a po: " * 200).strip(), 2: "le mais fin 1⁄2", 3: "", 4: "", 5: "-" * 90 + "a?b"}
+    segments = q(documents.sms_segments_all)
+    assert {r.doc_id for r in segments} == {1, 2, 5} and sorted(len(r.segment) for r in segments if r.doc_id == 1) == [80] + [160] * 12
+    got = {r.doc_id: (r.slug, r.file_name) for r in q(documents.slugs_all)}
+    assert got[1] == ("-".join(["ete-a-po"] * 200), ("Été à Pô_ " * 7)) and got[5] == ("a-b", "-" * 70)
+    assert got[3] == ("", "") and got[4] == (None, None) and set(got) == {1, 2, 3, 4, 5}
