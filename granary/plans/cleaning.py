@@ -63,18 +63,18 @@ def p2_bridge(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_histories(spark: SparkSession, d: str) -> DataFrame:
     """The offset history chosen for each site and scraper, with its violations."""
-    r, declared, candidates, _ = _clock_tables(spark, d)
-    return clocks.zone_histories(clocks.zone_violations(r, declared, candidates, "scraped_at"))
+    r, declared, candidates, short = _clock_tables(spark, d)
+    return clocks.zone_histories(clocks.zone_violations(r, declared, candidates, "scraped_at", short))
 
 
 def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
-    """Each value that names one instant, with the basis of its zone; estimated zones are marked."""
+    """Each value that names one instant, with the basis of its zone; estimated zones are marked, and tied ones."""
     r, declared, candidates, short = _clock_tables(spark, d)
     r = stage(r, "p4-read")
-    histories = stage(clocks.zone_histories(clocks.zone_violations(r, declared, candidates, "scraped_at")), "p4-zones")
+    histories = stage(clocks.zone_histories(clocks.zone_violations(r, declared, candidates, "scraped_at", short)), "p4-zones")
     return clocks.normalise(r, histories, short).select(
         F.col("page").alias("page_id"), F.col("field").alias("field_name"), "value",
-        clocks.utc_text(F.col("utc_micros")).alias("utc"), "basis",
+        clocks.utc_text(F.col("utc_micros")).alias("utc"), "basis", "tied",
     )
 
 
