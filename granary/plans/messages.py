@@ -43,6 +43,20 @@ def upsert_column_subset(spark: SparkSession, d: str) -> DataFrame:
     return R.upsert(t, u.withColumn("status", F.lit(None).cast("string")), ["k"])
 
 
+@C.query("""
+with t as (select user_id, event_type, max(props) as status, max(value) as score from events where ts is null or ts < timestamp '2024-01-16' group by 1, 2),
+u as (select user_id, event_type, max(value) as score from events where ts >= timestamp '2024-01-16' group by 1, 2)
+select coalesce(u.user_id, t.user_id) as user_id, coalesce(u.event_type, t.event_type) as event_type, t.status, coalesce(u.score, t.score) as score
+from t full join u on t.user_id is not distinct from u.user_id and t.event_type is not distinct from u.event_type""")
+def upsert_column_subset_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every event: those from a day on update the score of the earlier ones' keys and keep the status."""
+    e = events(spark, d)
+    key, late = ["user_id", "event_type"], F.coalesce(F.col("ts") >= F.expr("timestamp_ntz'2024-01-16'"), F.lit(False))
+    t = e.where(~late).groupBy(*key).agg(F.max("props").alias("status"), F.max("value").alias("score"))
+    u = e.where(late).groupBy(*key).agg(F.max("value").alias("score"))
+    return R.upsert(t, u.withColumn("status", F.lit(None).cast("string")), key)
+
+
 @C.query("""
 select md5(text) as data_hash, min(doc_id) as doc_id from documents where md5(text) not in (select md5(text) from documents where doc_id < 100)
 group by 1""")

@@ -9,9 +9,10 @@ from granary.operators import graph, profiles, retrieval, textops
 from granary.operators import relational as R
 from granary.operators.prefix import prefix_sum
 from granary.operators.retrieval import sentence_chunks
-from granary.plans import documents
+from granary.plans import documents, messages
 from granary.plans.staging import bounded_broadcast, stage
 from granary.sources import sinks
+from tests.helpers import SF_TINY
 
 
 def test_latest_by_key_takes_ties_by_whole_row(spark):
@@ -146,3 +147,9 @@ def test_texts_are_taken_whole(spark, tmp_path):
     got = {r.doc_id: (r.slug, r.file_name) for r in q(documents.slugs_all)}
     assert got[1] == ("-".join(["ete-a-po"] * 200), ("Été à Pô_ " * 7)) and got[5] == ("a-b", "-" * 70)
     assert got[3] == ("", "") and got[4] == (None, None) and set(got) == {1, 2, 3, 4, 5}
+
+
+def test_every_event_enters_the_upsert(spark):
+    keys = messages.events(spark, SF_TINY).select("user_id", "event_type").distinct()
+    got = messages.upsert_column_subset_all(spark, SF_TINY).select("user_id", "event_type")
+    assert got.count() == keys.count() > 0 and got.exceptAll(keys).count() == 0
