@@ -69,22 +69,54 @@ def test_best_fit():
     assert c[0] == c[2] and c[1] == c[3]
 
 
+TARGETS = [("hot", 0.5, 2), ("a", 0.3, 1), ("b", 0.1, 4), ("absent", 0.1, 3)]
+
+
 def test_mixing(spark):
     df, sizes = items(spark)
-    targets = spark.createDataFrame([("hot", 0.5, 2), ("a", 0.3, 1), ("b", 0.1, 4), ("absent", 0.1, 3)], "source string, target_share double, max_repeats int")
-    mixed = mixing.mix(df, targets)
-    got = {r.source: r for r in mixing.shares(df, targets, mixed).collect()}
+    targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
+    mixed = mixing.mix(df, targets, exact=True)
+    got = {r.source: r for r in mixing.shares(df, targets, mixed, exact=True).collect()}
     for source, want in (("hot", 0.5 / 0.9), ("a", 0.3 / 0.9), ("b", 0.1 / 0.9)):
         assert abs(got[source].actual_share - want) < 0.01 and got[source].most_copies <= got[source].max_repeats
     assert got["absent"].given_tokens == 0
     rows = mixed.collect()
     assert len({(r.doc, r.copy_no) for r in rows}) == len(rows) and all(r.n_tokens == sizes[r.doc] for r in rows)
-    assert {tuple(r) for r in rows} == {tuple(r) for r in mixing.mix(df.repartition(5), targets).collect()}
-    assert mixing.mix(df.limit(0), targets).count() == 0
+    assert {tuple(r) for r in rows} == {tuple(r) for r in mixing.mix(df.repartition(5), targets, exact=True).collect()}
+    assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
     capped = {r.source: r for r in mixing.shares(df, targets, mixing.mix(df, targets, 10**9), 10**9).collect()}
     assert capped["a"].most_copies == 1 and capped["b"].most_copies == 4
 
 
+def filled(have, targets, total):
+    """Tokens of each source at the water level, by bisection."""
+    some = {s: (w, m * have[s]) for s, w, m in targets if have.get(s)}
+    low, high = 0.0, 1e15
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(w * level, cap) for w, cap in some.values()) < total else (low, level)
+    return {s: min(w * high, cap) for s, (w, cap) in some.items()}
+
+
+@pytest.mark.parametrize("budget", [None, 1000, 400_000, 10**9])
+def test_water_level(spark, budget):
+    df, sizes = items(spark)
+    targets = spark.createDataFrame([*TARGETS, ("tiny", 0.3, 3)], "source string, target_share double, max_repeats int")
+    have = {r.source: r.t for r in df.dropDuplicates(["doc"]).groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    total = budget or sum(have[s] for s in ("hot", "a", "b", "tiny"))
+    want = filled(have, [*TARGETS, ("tiny", 0.3, 3)], total)
+    p = {r.source: r for r in mixing.plan(df.dropDuplicates(["doc"]), targets, budget).collect()}
+    for source, tokens in want.items():
+        assert p[source].planned == pytest.approx(tokens, rel=1e-6)
+    if budget is None:  # a tiny source at its cap doesn't hold the others down
+        mixed = mixing.mix(df, targets)
+        given = mixed.agg(F.sum("n_tokens")).first()[0]
+        assert abs(given - total) < 0.02 * total
+        got = {r.source: r for r in mixing.shares(df, targets, mixed).collect()}
+        assert got["tiny"].most_copies == 3 and got["tiny"].given_tokens == 15_000
+        assert all(abs(got[s].actual_share - got[s].reachable_share) < 0.01 for s in want)
+
+
 @pytest.mark.parametrize("text", ["Le mil, 25 kg.\n\nÉté", "", "🌾 riz"])
 def test_tokens_round_trip(spark, text):
     enc = encoding(vocabulary())
