@@ -72,10 +72,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6.repeated_lines(_pages(spark, d), 8).withColumnRenamed("doc", "page_id")
 
 
+def p6_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Passages that a site repeats in at least 8 pages, however their lines are broken: characters from start to before end."""
+    return p6.repeated_spans(_pages(spark, d), 8).withColumnRenamed("doc", "page_id")
+
+
 def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    """Each page's content without the lines its site repeats in at least 8 pages."""
-    pages = _pages(spark, d)
-    out = p6.without_lines(pages.where("text is not null"), p6.repeated_lines(pages, 8))
+    """Each page's content without the passages and lines its site repeats in at least 8 pages."""
+    pages = _pages(spark, d).where("text is not null")
+    lines = p6.repeated_lines(pages, 8)
+    out = p6.without_repetitions(pages, lines, p6.repeated_spans(pages, 8))
     return out.select(F.col("doc").alias("page_id"), "site", F.col("text").alias("content"))
 
 
@@ -146,7 +152,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of this package by name."""
-    own = (p1_found, p1_body, p3_found, p3_repaired, p6_found, p6_cleaned, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_spans, p10_coverage)
+    own = (p1_found, p1_body, p3_found, p3_repaired, p6_found, p6_spans, p6_cleaned, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_spans, p10_coverage)
     return {f.__name__: f for f in own}
 
 

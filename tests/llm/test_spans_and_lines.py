@@ -135,6 +135,46 @@ def test_lines_match_brute_force(spark):
         assert clean[i] == kept
 
 
+def notices(wrap):
+    """A site's pages with the same notice, its lines broken at other places in each."""
+    rnd = random.Random(4)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    notice = words(120)
+    out = []
+    for i in range(20):
+        mine = notice.split() if i < 12 else words(120).split()
+        k = rnd.randint(5, 17) if wrap else 24
+        lines = [" ".join(mine[j : j + k]) for j in range(0, len(mine), k)]
+        out.append((i, "s", words(30) + "\n" + "\n".join(lines) + "\n" + words(30)))
+    return notice, out
+
+
+def test_chunks_carry_long_lines(spark, monkeypatch):
+    """Without repeated chunks no line that holds one is found."""
+    _, rows = notices(wrap=False)
+    df = spark.createDataFrame(rows, "doc long, site string, text string")
+    found = repeated_lines.repeated_lines(df, 8).count()
+    real = repeated_lines.over
+    monkeypatch.setattr(repeated_lines, "over", lambda df, key, n: real(df, key, n).where(F.lit(key != "chunk")))
+    assert found == 12 * 5 and repeated_lines.repeated_lines(df, 8).count() < found / 2
+
+
+def test_notice_wrapped_otherwise(spark):
+    notice, rows = notices(wrap=True)
+    df = spark.createDataFrame(rows, "doc long, site string, text string")
+    spans = repeated_lines.repeated_spans(df, 8)
+    clean = {r.doc: r.text for r in repeated_lines.without_spans(df, spans).collect()}
+    for i, _, text in rows:
+        if i < 12:  # the notice but for its ends, and nothing else
+            assert len(letters(text)) - len(letters(clean[i])) > 0.8 * len(letters(notice))
+            assert clean[i].split("\n")[0] == text.split("\n")[0] and clean[i].split("\n")[-1] == text.split("\n")[-1]
+        else:
+            assert clean[i] == text
+    assert repeated_lines.repeated_spans(df.where("doc < 7"), 8).count() == 0
+    empty = spark.createDataFrame([(1, None, "a"), (2, "s", None), (3, "s", "")], "doc long, site string, text string")
+    assert repeated_lines.repeated_spans(empty, 1).count() == 0
+
+
 @pytest.mark.parametrize("name", ["p6_found", "p7_found"])
 def test_sql(spark, name):
     con = duckdb.connect()
