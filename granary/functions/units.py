@@ -38,7 +38,7 @@ NUMBER_FIRST = rf"^(?:x ?)?{_N} ?([a-z]+)(?: ?(?:/|par|le|la) ?[a-z]+)?$"
 PACKAGE_FIRST = rf"^[a-z]+ ?(?:de|d'|/|_|-|:|x|a)? ?{_N} ?([a-z]+)$"
 COUNTED = r"^([a-z]+?)s? (?:de |d')([a-z]+)$"
 #: how a unit is written after an item's name
-IN_NAME = r"^(.*?)(?: / |,? cond\.? | - en | en |\(|\[)([^()\[\]]+?)[)\]]?$"
+IN_NAME = r"^(.*?)(?: / |,? cond\.? | - en | en |\(|\[)((?:[^()\[\]]|\((?:s|x|es)\))+?)[)\]]?$"
 
 
 def is_placeholder(unit: Column) -> Column:

@@ -32,76 +32,92 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import fold
 from granary.functions.units import is_placeholder, item_and_unit, read_unit
+from granary.operators.relational import lookup
 from granary.plans.staging import bounded_broadcast, stage
 
 BIN = 0.02
-FARM_ROWS = 1_000_000
-WORDINGS = 200_000
+WORDINGS = 500_000
 
 
-def with_regions(stocks: DataFrame, farms: DataFrame, zones: DataFrame) -> DataFrame:
-    """``stocks`` with the region of each row's farm; null where farm or zone is unknown."""
-    where = farms.where("farm_id is not null").join(zones.select("zone_id", F.col("region")), "zone_id")
-    where = where.groupBy("farm_id").agg(F.min("region").alias("_region"))
-    where = bounded_broadcast(where.select(F.col("farm_id").alias("_farm"), "_region"), FARM_ROWS)
-    return stocks.join(where, F.col("farm_id") == F.col("_farm"), "left").drop("_farm")
+def regions_of(farms: DataFrame, zones: DataFrame, regions: DataFrame) -> DataFrame:
+    """(farm, farm_region) of each farm in one of ``regions(region)``; of a farm given twice the least region."""
+    where = farms.where("farm_id is not null").join(zones.select("zone_id", F.col("region").alias("farm_region")), "zone_id")
+    where = where.groupBy(F.col("farm_id").alias("farm")).agg(F.min("farm_region").alias("farm_region"))
+    return where.join(F.broadcast(regions), F.col("farm_region") == F.col("region"), "left_semi")  # the reference's few regions
 
 
-def wordings(stocks: DataFrame) -> DataFrame:
-    """(w_item_name, w_unit, _item, _empty, _label, _times) of each distinct wording, so that each is read once."""
-    w = stocks.select(F.col("item_name").alias("w_item_name"), F.col("unit").alias("w_unit")).distinct()
-    name, in_name = item_and_unit(F.col("w_item_name"))
-    empty = is_placeholder(F.col("w_unit"))
-    w = w.select("*", fold(name).alias("_item"), empty.alias("_empty"), F.when(empty, in_name).otherwise(F.col("w_unit")).alias("_text"))
-    # a table of its own keeps the reading out of the rows' code
+def wordings(stocks: DataFrame, reference: DataFrame) -> DataFrame:
+    """What each distinct wording says, read once: (wording, _item, _empty, _label, _base, _factor, _regional).
+
+    The amount is that of the reference's row for the item or its general row;
+    _regional is the label if a row of the reference for a region goes before.
+    ``reference`` is a parameter table of a few rows.
+    """
+    w = stocks.select("wording", "item_name", "unit").distinct()
+    name, in_name = item_and_unit(F.col("item_name"))
+    empty = is_placeholder(F.col("unit"))
+    w = w.select("wording", fold(name).alias("_item"), empty.alias("_empty"), F.when(empty, in_name).otherwise(F.col("unit")).alias("_text"))
+    # tables of their own keep the reading out of the rows' code
     w = stage(w, "p5-texts").withColumn("_read", read_unit(F.col("_text")))
-    w = stage(w, "p5-wordings").select(
-        "w_item_name", "w_unit", "_item", "_empty", F.when(F.col("_text").isNotNull(), F.col("_read.label")).alias("_label"),
-        F.col("_read.times").alias("_times"),
+    w = w.select("wording", "_item", "_empty", F.when(F.col("_text").isNotNull(), F.col("_read.label")).alias("_label"), F.col("_read.times").alias("_times"))
+    ref = F.broadcast(reference.select(
+        fold(F.col("unit_label")).alias("r_label"), fold(F.col("item_name")).alias("r_item"), "region", "base_unit", "factor"
+    ))
+    general, items = ref.where("r_item is null and region is null"), ref.where("r_item is not null and region is null")
+    regional = ref.where("region is not null and r_item is null").select("r_label").distinct()
+    label = F.col("_label")
+    w = (
+        w.join(general.select("r_label", F.col("base_unit").alias("g_base"), F.col("factor").alias("g_factor")), label == F.col("r_label"), "left").drop("r_label")
+        .join(items.select("r_label", "r_item", F.col("base_unit").alias("i_base"), F.col("factor").alias("i_factor")),
+              (label == F.col("r_label")) & (F.col("_item") == F.col("r_item")), "left").drop("r_label", "r_item")
+        .join(regional.select(F.col("r_label").alias("g_label")), label == F.col("g_label"), "left")
+    )
+    w = w.select(
+        "wording", "_item", "_empty", "_label", "_times", F.coalesce("i_base", "g_base").alias("_base"),
+        (F.coalesce("i_factor", "g_factor") * F.col("_times")).alias("_factor"), F.when(F.col("i_factor").isNull(), F.col("g_label")).alias("_regional"),
     )
-    return bounded_broadcast(w, WORDINGS)
+    return stage(w, "p5-wordings")
 
 
 def convert(stocks: DataFrame, farms: DataFrame, zones: DataFrame, reference: DataFrame) -> DataFrame:
-    """``stocks`` with _item, _label, _stated, _base, _factor and basis ``stated``, ``named``, ``missing`` or ``unknown``.
+    """``stocks`` with _item, unit_label, base_unit, factor and basis ``stated``, ``named``, ``missing`` or ``unknown``.
 
-    ``reference(unit_label, item_name, region, base_unit, factor)`` is a small table.
+    ``reference(unit_label, item_name, region, base_unit, factor)`` is a small
+    table. Only rows whose unit differs by region look up their farm.
     """
-    s = stocks.select("stock_id", "farm_id", "item_name", "quantity", "unit")
-    r = wordings(s)
-    same = F.col("item_name").eqNullSafe(F.col("w_item_name")) & F.col("unit").eqNullSafe(F.col("w_unit"))
-    s = with_regions(s.join(r, same), farms, zones)
-    ref = reference.select(
-        fold(F.col("unit_label")).alias("r_label"), fold(F.col("item_name")).alias("r_item"),
-        F.col("region").alias("r_region"), F.col("base_unit").alias("r_base"), F.col("factor").alias("r_factor"),
-    )
-    general = ref.where("r_item is null and r_region is null")
-    item = ref.where("r_item is not null and r_region is null").select(
-        F.col("r_label").alias("i_label"), "r_item", F.col("r_base").alias("i_base"), F.col("r_factor").alias("i_factor"))
-    region = ref.where("r_region is not null and r_item is null").select(
-        F.col("r_label").alias("g_label"), "r_region", F.col("r_base").alias("g_base"), F.col("r_factor").alias("g_factor"))
+    wording = F.concat_ws("\u0001", F.coalesce("item_name", F.lit("\u0000")), F.coalesce("unit", F.lit("\u0000")))
+    s = stocks.select("stock_id", "farm_id", "item_name", "quantity", "unit", wording.alias("wording"))
+    w = wordings(s, reference).withColumnRenamed("wording", "w_wording")
+    s = lookup(s, w, "wording", "w_wording", WORDINGS).drop("wording", "w_wording")
+    ref = reference.where("region is not null and item_name is null").select(
+        fold(F.col("unit_label")).alias("g_label"), F.col("region").alias("g_region"), F.col("base_unit").alias("g_base"), F.col("factor").alias("g_factor"))
+    where = stage(regions_of(farms, zones, ref.select(F.col("g_region").alias("region")).distinct()), "p5-farms")
+    s = lookup(s.withColumn("_farm", F.when(F.col("_regional").isNotNull(), F.col("farm_id"))), where, "_farm", "farm")
+    s = s.join(F.broadcast(ref), (F.col("_regional") == F.col("g_label")) & (F.col("farm_region") == F.col("g_region")), "left")  # a few rows
+    factor = F.coalesce(F.col("g_factor") * F.col("_times"), F.col("_factor"))
     label = F.col("_label")
-    s = (
-        s.join(F.broadcast(general.drop("r_item", "r_region")), label == F.col("r_label"), "left")  # the reference: a few rows
-        .join(F.broadcast(item), (label == F.col("i_label")) & (F.col("_item") == F.col("r_item")), "left")
-        .join(F.broadcast(region), (label == F.col("g_label")) & (F.col("_region") == F.col("r_region")), "left")
-    )
-    factor = F.coalesce("i_factor", "g_factor", "r_factor") * F.col("_times")
     basis = (
         F.when(label.isNull(), "missing").when(factor.isNull(), "unknown").when(F.col("_empty"), "named").otherwise("stated")
     )
     return s.select(
         "stock_id", "item_name", "quantity", "unit", "_item", label.alias("unit_label"),
-        F.coalesce("i_base", "g_base", "r_base").alias("base_unit"), factor.alias("factor"), basis.alias("basis"),
+        F.coalesce("g_base", "_base").alias("base_unit"), factor.alias("factor"), basis.alias("basis"),
     )
 
 
 def milli(quantity, factor):
     """Thousandths of the base unit, rounded half up on the decimal figures."""
-    q = F.round(quantity.cast("decimal(20,6)") * factor.cast("decimal(18,9)") * 1000, 0)
+    q = F.round(F.nanvl(quantity, F.lit(None).cast("double")).cast("decimal(20,6)") * factor.cast("decimal(18,9)") * 1000, 0)
     return q.cast("bigint")
 
 
+def known(stocks: DataFrame, farms: DataFrame, zones: DataFrame, reference: DataFrame) -> DataFrame:
+    """(stock_id, base_unit, base_milli) of each stock whose quantity and unit are stated or named; the mixture has no part."""
+    c = convert(stocks, farms, zones, reference).where("basis in ('stated', 'named')")
+    c = c.select("stock_id", "base_unit", milli(F.col("quantity"), F.col("factor")).alias("base_milli"))
+    return c.where("base_milli is not null").distinct()
+
+
 def _fit(g: pd.DataFrame) -> pd.DataFrame:
     """Posterior of each candidate unit for each bin of one item and its most probable unit."""
     units = g[g["kind"] == 0].sort_values("unit_label")
@@ -142,14 +158,16 @@ def _fit(g: pd.DataFrame) -> pd.DataFrame:
 def infer_units(converted: DataFrame) -> DataFrame:
     """(item, bin, unit_label, base_unit, factor, posterior) for items with rows without a unit.
 
-    The candidates of an item are the units stated for it, each with its mean factor.
+    The candidates of an item are the units stated for it, each with its most frequent factor.
     """
     log_q = F.log10("quantity")
     known = converted.where("basis in ('stated', 'named') and quantity > 0 and factor > 0 and _item is not null")
     amount = F.log10(F.col("quantity") * F.col("factor"))
-    units = known.groupBy(F.col("_item").alias("item"), "unit_label", "base_unit").agg(
-        F.count("*").alias("n"), F.pow(F.lit(10.0), F.avg(F.log10("factor"))).alias("factor"),
-        F.sum(amount).alias("s1"), F.sum(amount * amount).alias("s2"),
+    units = known.groupBy(F.col("_item").alias("item"), "unit_label", "base_unit", "factor").agg(
+        F.count("*").alias("n"), F.sum(amount).alias("s1"), F.sum(amount * amount).alias("s2")
+    )
+    units = units.groupBy("item", "unit_label", "base_unit").agg(
+        F.sum("n").alias("n"), F.max_by("factor", F.struct("n", -F.col("factor"))).alias("factor"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")
     )
     # mixtures of one base unit are comparable; the item's most stated base unit is its own
     base = units.groupBy("item", "base_unit").agg(F.sum("n").alias("bn")).groupBy("item").agg(
@@ -171,18 +189,18 @@ def normalise(
     stocks: DataFrame, farms: DataFrame, zones: DataFrame, reference: DataFrame, sure: float = 0.9
 ) -> DataFrame:
     """(stock_id, item, quantity, unit, unit_label, base_unit, base_milli, basis, posterior, uncertain) of every row."""
-    c = convert(stocks, farms, zones, reference)
+    c = stage(convert(stocks, farms, zones, reference), "p5-converted")
     guess = infer_units(c).select(
         F.col("item").alias("m_item"), F.col("bin").alias("m_bin"), F.col("unit_label").alias("m_label"),
         F.col("base_unit").alias("m_base"), F.col("factor").alias("m_factor"), "posterior",
     )
     is_gap = (F.col("basis") == "missing") & (F.col("quantity") > 0)
     at = F.when(is_gap, F.floor(F.log10("quantity") / BIN + 0.5).cast("int"))
-    guess = bounded_broadcast(guess, 1_000_000)
+    guess = bounded_broadcast(stage(guess, "p5-guesses"), 1_000_000)
     c = c.withColumn("_bin", at).join(guess, (F.col("_item") == F.col("m_item")) & (F.col("_bin") == F.col("m_bin")), "left")
     inferred = (F.col("basis") == "missing") & F.col("m_factor").isNotNull()
     basis = F.when(inferred, "inferred").when(F.col("basis") == "missing", "unknown").otherwise(F.col("basis"))
-    amount = milli(F.nanvl("quantity", F.lit(None).cast("double")), F.when(inferred, F.col("m_factor")).otherwise(F.col("factor")))
+    amount = milli(F.col("quantity"), F.when(inferred, F.col("m_factor")).otherwise(F.col("factor")))
     return c.select(
         "stock_id", F.col("_item").alias("item"), "quantity", "unit",
         F.when(inferred, F.col("m_label")).otherwise(F.col("unit_label")).alias("unit_label"),
@@ -190,3 +208,21 @@ def normalise(
         amount.alias("base_milli"), basis.alias("basis"), F.when(inferred, F.col("posterior")).alias("posterior"),
         (inferred & (F.col("posterior") < sure)).alias("uncertain"),
     )
+
+
+def calibration(
+    stocks: DataFrame, farms: DataFrame, zones: DataFrame, reference: DataFrame, sure: float = 0.9, one_in: int = 10
+) -> DataFrame:
+    """(uncertain, n, right): how often the mixture is right about stated units that were hidden from it, one in ``one_in``.
+
+    ``right`` counts rows whose inferred amount is the stated one.
+    """
+    c = stage(convert(stocks, farms, zones, reference).dropDuplicates(["stock_id"]).where("basis in ('stated', 'named') and quantity > 0"), "p5-truth")
+    hide = F.pmod(F.xxhash64("stock_id"), F.lit(one_in)) == 0
+    shown = c.withColumn("basis", F.when(hide, "missing").otherwise(F.col("basis")))
+    guess = stage(infer_units(shown), "p5-hidden").select(
+        F.col("item").alias("m_item"), F.col("bin").alias("m_bin"), F.col("base_unit").alias("m_base"), F.col("factor").alias("m_factor"), "posterior")
+    x = c.where(hide).withColumn("_bin", F.floor(F.log10("quantity") / BIN + 0.5).cast("int"))
+    x = x.join(guess, (F.col("_item") == F.col("m_item")) & (F.col("_bin") == F.col("m_bin")))
+    right = (F.col("base_unit") == F.col("m_base")) & (F.abs(F.col("factor") / F.col("m_factor") - 1) < 1e-6)
+    return x.groupBy((F.col("posterior") < sure).alias("uncertain")).agg(F.count("*").alias("n"), F.count_if(right).alias("right"))

@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.plans.staging import is_bounded
+
+HOT_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
+
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the one with the greatest ``order`` (nulls least). Ties go to the greatest whole row."""
@@ -82,3 +87,24 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     """The first k rows of each group; Spark prunes each group before the shuffle (WindowGroupLimit)."""
     w = W.partitionBy(*by).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+
+
+def lookup(df: DataFrame, table: DataFrame, key: str, other: str, rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` left-joined to ``table``, which has each value of ``other`` at most once.
+
+    A table of checked size is broadcast. A larger one is joined by a shuffle of
+    the rows that aren't hot; keys with more than ``hot_rows`` rows are at most
+    all rows over hot_rows, so that their entries are broadcast again, and rows
+    without a key aren't shuffled at all.
+    """
+    on = F.col(key) == F.col(other)
+    if is_bounded(table, rows):
+        return df.join(F.broadcast(table), on, "left")
+    hot = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    hot = F.broadcast(hot.select("_hot"))
+    is_hot = F.col(key) == F.col("_hot")
+    few = F.broadcast(table.join(hot, F.col(other) == F.col("_hot"), "left_semi"))
+    often = df.join(hot, is_hot, "left_semi").join(few, on, "left")
+    seldom = df.where(F.col(key).isNotNull()).join(hot, is_hot, "left_anti").join(table, on, "left")
+    none = df.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(t).alias(c) for c, t in table.dtypes))
+    return often.unionByName(seldom).unionByName(none)

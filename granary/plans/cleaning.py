@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions import units
 from granary.functions.urls import site
 from granary.operators import clocks, quantities, records
+from granary.operators.relational import lookup
 from granary.plans.staging import stage
 from granary.sources.tables import table
 
 FIELDS = ("date_published", "date_modified", "scraped_at")
 
 
-def _clock_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Values read, declared zones, candidate zones and abbreviations."""
+def _clock_tables(spark: SparkSession, d: str, estimate: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Values read, declared zones, candidate zones (all offset histories if zones are to be estimated) and abbreviations."""
     sites, scrapers = table(spark, d, "sites"), table(spark, d, "scrapers")
     own = F.concat(F.lit("site:"), site(F.col("url")))
     scraper = F.concat(F.lit("scraper:"), F.col("scraper_id"))
@@ -27,13 +29,14 @@ def _clock_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
         ))).alias("x"),
     ).select("page", "_site", "x.*")
     orders = sites.select(F.concat(F.lit("site:"), F.lower("host")).alias("o_site"), "day_order").dropDuplicates(["o_site"])
-    values = pages.join(F.broadcast(orders), F.col("_site") == F.col("o_site"), "left")  # sites: a fixed table
+    values = lookup(pages, orders, "_site", "o_site")
     declared = sites.select(F.concat(F.lit("site:"), F.lower("host")).alias("source"), F.col("tz").alias("zone")).unionByName(
         scrapers.select(F.concat(F.lit("scraper:"), "scraper_id").alias("source"), F.col("tz").alias("zone"))
-    ).where("source is not null and zone is not null").dropDuplicates(["source"])
-    zones = [r[0] for r in declared.select("zone").distinct().limit(1000).collect()]  # time zones: under 600 exist
-    short = spark.createDataFrame(clocks.abbreviations(zones) or [("UTC", "utc", 0)], "zone string, name string, offset long")
-    candidates = declared.select("zone").distinct()
+    ).where(F.col("source").isNotNull() & F.col("zone").isin(*available_timezones())).dropDuplicates(["source"])
+    declared_zones = [r[0] for r in declared.select("zone").distinct().collect()]  # names of time zones only, some hundreds exist
+    zones = clocks.offset_histories(declared_zones) if estimate else declared_zones
+    short = spark.createDataFrame(clocks.abbreviations([*zones, *declared_zones]) or [("UTC", "utc", 0)], "zone string, name string, offset long")
+    candidates = spark.createDataFrame([(z,) for z in zones], "zone string")
     return clocks.read(values.select("page", "field", "source", "day_order", "value")), declared, candidates, short
 
 
@@ -67,9 +70,8 @@ def p4_histories(spark: SparkSession, d: str) -> DataFrame:
     return clocks.zone_histories(clocks.zone_violations(r, declared, candidates, "scraped_at", short))
 
 
-def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
-    """Each value that names one instant, with the basis of its zone; estimated zones are marked, and tied ones."""
-    r, declared, candidates, short = _clock_tables(spark, d)
+def _p4(spark: SparkSession, d: str, estimate: bool) -> DataFrame:
+    r, declared, candidates, short = _clock_tables(spark, d, estimate)
     r = stage(r, "p4-read")
     histories = stage(clocks.zone_histories(clocks.zone_violations(r, declared, candidates, "scraped_at", short)), "p4-zones")
     return clocks.normalise(r, histories, short).select(
@@ -78,9 +80,14 @@ def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """Each value that names one instant, with the basis of its zone; estimated zones are marked, and tied ones."""
+    return _p4(spark, d, estimate=True)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Values that name exactly one instant: explicit offsets and clocks that are known."""
-    return p4_normalised(spark, d).where("basis <> 'estimated'").select("page_id", "field_name", "utc").distinct()
+    """Values that name exactly one instant: explicit offsets and clocks that are known. Estimates aren't cases, so none are tried."""
+    return _p4(spark, d, estimate=False).where("basis <> 'estimated'").select("page_id", "field_name", "utc").distinct()
 
 
 def p5_normalised(spark: SparkSession, d: str) -> DataFrame:
@@ -91,27 +98,40 @@ def p5_normalised(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Stocks whose quantity and unit are known, in thousandths of the base unit."""
-    known = p5_normalised(spark, d).where("basis in ('stated', 'named') and base_milli is not null")
-    return known.select("stock_id", "base_unit", "base_milli").distinct()
+    return quantities.known(*(table(spark, d, n) for n in ("stocks", "farms", "zones", "unit_reference")))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_bridge, p4_found, p4_normalised, p4_histories, p5_found, p5_normalised)}
 
 
+# fixed values of the SQL, written apart from those of ``granary.functions.units`` so that the comparison means something
+_SPELT = """('kgs','kg'), ('kilo','kg'), ('kilos','kg'), ('kilogramme','kg'), ('kilogrammes','kg'), ('kilogram','kg'), ('kilograms','kg'),
+ ('gr','g'), ('grs','g'), ('gramme','g'), ('grammes','g'), ('gram','g'), ('grams','g'),
+ ('to','t'), ('tonne','t'), ('tonnes','t'), ('ton','t'), ('tons','t'),
+ ('q','quintal'), ('qx','quintal'), ('qt','quintal'), ('qtx','quintal'), ('qtl','quintal'), ('quintaux','quintal'), ('quintals','quintal'),
+ ('lbs','lb'), ('livre','lb'), ('livres','lb'), ('pound','lb'), ('pounds','lb'),
+ ('sacs','sac'), ('bag','sac'), ('bags','sac'), ('tines','tine'), ('plats','plat'), ('paniers','panier'), ('basket','panier'), ('baskets','panier'),
+ ('charrettes','charrette'), ('cart','charrette'), ('carts','charrette'),
+ ('lt','l'), ('lts','l'), ('ltr','l'), ('litre','l'), ('litres','l'), ('liter','l'), ('liters','l'),
+ ('millilitre','ml'), ('millilitres','ml'), ('milliliter','ml'), ('milliliters','ml'),
+ ('centilitre','cl'), ('centilitres','cl'), ('centiliter','cl'), ('centiliters','cl'), ('bidons','bidon'), ('futs','fut'),
+ ('gallons','gallon'), ('gal','gallon'), ('pieces','piece'), ('pce','piece'), ('pces','piece'), ('pc','piece'), ('pcs','piece'),
+ ('unite','piece'), ('unites','piece'), ('tete','piece'), ('tetes','piece'),
+ ('douzaines','douzaine'), ('dz','douzaine'), ('dzn','douzaine'), ('dozen','douzaine'), ('dozens','douzaine')"""
+_COUNTED = "('dizaine', 10), ('vingtaine', 20), ('cinquantaine', 50), ('centaine', 100), ('millier', 1000), ('million', 1000000)"
+_EMPTY = "'', '-', '--', '?', '??', 'n/a', 'na', 'nd', 'n.d.', 'none', 'null', 'voir libelle', 'cf libelle', 'inconnu', '.'"
+
+
 def _p5_sql() -> str:
-    """The stated part of p5 in SQL; the tables of spellings are those of ``granary.functions.units``."""
-    values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
-    spelt = values((w, label) for label, words in units.SPELLINGS.items() for w in words.split())
-    counting = ", ".join(f"('{k}', {v})" for k, v in units.COUNTING.items())
-    empty = ", ".join(f"'{x}'" for x in units.PLACEHOLDERS)
+    """The stated and named part of p5 in SQL. Plural marks are taken off first, so that brackets are read otherwise than in the query."""
     fold = lambda c: f"lower(strip_accents(trim(regexp_replace({c}, '\\s+', ' ', 'g'))))"
     number = "([0-9]+(?:[.,][0-9]+)?)"
     first, package = f"^(?:x ?)?{number} ?([a-z]+)(?: ?(?:/|par|le|la) ?[a-z]+)?$", f"^[a-z]+ ?(?:de|d''|/|_|-|:|x|a)? ?{number} ?([a-z]+)$"
-    counted, named = "^([a-z]+?)s? (?:de |d'')([a-z]+)$", "^(.*?)(?: / |,? cond\\.? | - en | en |\\(|\\[)([^()\\[\\]]+?)[)\\]]?$"
+    counted, named = "^([a-z]+?)s? (?:de |d'')([a-z]+)$", "^(.*?)(?: / |,? cond\\.? | - en | en |\\(|\\[)([^()\\[\\]]+)[)\\]]?$"
     return f"""
-with spelt(word, label) as (values {spelt}), counting(word, times) as (values {counting}),
-s as (select distinct stock_id, farm_id, trim(regexp_replace(item_name, '\\s+', ' ', 'g')) as item, unit, quantity,
-  unit is null or {fold('unit')} in ({empty}) as empty from stocks where quantity is not null and not isnan(quantity)),
+with spelt(word, label) as (values {_SPELT}), counting(word, times) as (values {_COUNTED}),
+s as (select distinct stock_id, farm_id, regexp_replace(trim(regexp_replace(item_name, '\\s+', ' ', 'g')), '\\((?:s|x|es)\\)', '', 'gi') as item, unit, quantity,
+  unit is null or {fold('unit')} in ({_EMPTY}) as empty from stocks where quantity is not null and not isnan(quantity)),
 t as (select *, nullif(regexp_extract(item, '{named}', 2), '') as suffix from s),
 u as (select *, {fold("case when suffix is null then item else regexp_extract(item, '" + named + "', 1) end")} as name,
   regexp_replace({fold('case when empty then suffix else unit end')}, '\\((?:s|x|es)\\)|\\.$', '', 'g') as w from t),

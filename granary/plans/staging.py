@@ -40,12 +40,35 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged.
+def row_bytes(df: DataFrame):
+    """Bytes of a row: the lengths of texts, eight for each other value and for each element of an array."""
+    from pyspark.sql import functions as F
+
+    def of(name: str, kind: str):
+        c = F.col(f"`{name}`")
+        if kind == "string":
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if kind == "array<string>":
+            return F.coalesce(F.aggregate(c, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16), F.lit(0)) + 16
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 16 if kind.startswith("array") else F.lit(8)
+
+    return sum((of(*c) for c in df.dtypes), F.lit(16))
+
+
+def is_bounded(df: DataFrame, rows: int, size: int = 64 << 20) -> bool:
+    """True if ``df`` has at most ``rows`` rows and about ``size`` bytes. Runs ``df`` once: stage what is costly first."""
+    from pyspark.sql import functions as F
+
+    n, total = df.agg(F.count("*"), F.sum(row_bytes(df).cast("long"))).first()
+    return n <= rows and (total or 0) <= size
+
+
+def bounded_broadcast(df: DataFrame, rows: int, size: int = 64 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes, else unchanged.
 
-    The count is taken from the data, so the hint can't outgrow its bound;
-    beyond it Catalyst and AQE choose a shuffled join.
+    Both are taken from the data, so the hint can't outgrow its bound; beyond it
+    Catalyst and AQE choose a shuffled join.
     """
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_bounded(df, rows, size) else df

@@ -10,7 +10,7 @@ from granary.operators import relational as R
 from granary.operators.prefix import prefix_sum
 from granary.operators.retrieval import sentence_chunks
 from granary.plans import documents, messages
-from granary.plans.staging import bounded_broadcast, stage
+from granary.plans.staging import bounded_broadcast, is_bounded, stage
 from granary.sources import sinks
 from tests.helpers import SF_TINY
 
@@ -28,6 +28,20 @@ def test_upsert_keeps_old_values_and_adds_keys(spark):
     assert got == {("a", 1, "x"), ("b", 2, "z"), ("c", 9, "c"), (None, 4, "q")}
 
 
+def test_lookup_splits_hot_keys(spark):
+    rows = [(i, "hot" if i % 2 else None if i % 3 == 0 else f"k{i % 50}") for i in range(2000)]
+    df = spark.createDataFrame([*rows, rows[1]], "id long, k string")
+    t = spark.createDataFrame([("hot", 1), *((f"k{i}", i) for i in range(40))], "o string, v long")
+    want = sorted(R.lookup(df, t, "k", "o").collect(), key=str)
+    assert sorted(R.lookup(df, t, "k", "o", rows=0, hot_rows=100).collect(), key=str) == want
+    assert len(want) == 2001 and R.lookup(df.limit(0), t, "k", "o", rows=0).count() == 0
+
+
+def test_broadcast_bound_counts_bytes(spark):
+    df = spark.range(50).select(F.repeat(F.lit("x"), 1000).alias("s"), F.array(F.lit("ab"), F.lit(None)).alias("a"))
+    assert is_bounded(df, 50) and not is_bounded(df, 49) and not is_bounded(df, 50, size=40_000) and is_bounded(df.limit(0), 0)
+
+
 def test_prefix_sum_of_a_hot_group(spark):
     rows = [(("hot" if i % 3 else None) if i % 5 else "rare", i, i % 7) for i in range(5000)]
     df = spark.createDataFrame(rows, "g string, id long, v long")

@@ -34,10 +34,12 @@ def test_wordings(spark, unit, label, times):
 
 
 def test_item_and_placeholder(spark):
-    df = spark.createDataFrame([("urée / quintal",), ("mil, cond. TINES",), ("riz [q]",), ("Maïs (x100 kg)",), ("Arachide - en tonnes",), ("sacs vides",), (None,)], "i string")
+    df = spark.createDataFrame([("urée / quintal",), ("mil, cond. TINES",), ("riz [q]",), ("Maïs (x100 kg)",), ("Arachide - en tonnes",), ("sacs vides",), (None,),
+        ("Gombo [sac(s)]",), ("riz / sac(s)",), ("tomate (plat(s))",), ("mil, cond. panier(s)",), ("oignon (sac(s) de 50 kg)",)], "i string")
     item, unit = item_and_unit(F.col("i"))
     got = [tuple(r) for r in df.select(item.alias("a"), unit.alias("b")).collect()]
-    assert got == [("urée", "quintal"), ("mil", "TINES"), ("riz", "q"), ("Maïs", "x100 kg"), ("Arachide", "tonnes"), ("sacs vides", None), (None, None)]
+    assert got == [("urée", "quintal"), ("mil", "TINES"), ("riz", "q"), ("Maïs", "x100 kg"), ("Arachide", "tonnes"), ("sacs vides", None), (None, None),
+        ("Gombo", "sac(s)"), ("riz", "sac(s)"), ("tomate", "plat(s)"), ("mil", "panier(s)"), ("oignon", "sac(s) de 50 kg")]
     flags = spark.createDataFrame([("",), ("n/a",), (None,), ("Voir  libellé",), ("kg",)], "u string").select(is_placeholder(F.col("u")).alias("p")).collect()
     assert [r.p for r in flags] == [True, True, True, True, False]
 
