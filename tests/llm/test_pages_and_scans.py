@@ -44,6 +44,47 @@ def test_pages(spark):
     assert boilerplate.boilerplate_lines(df.limit(0)).count() == 0
 
 
+NOTICE = "Ce site " + " ".join(["est édité par le réseau et la réutilisation de ses pages demande un accord écrit du bureau,"] * 7) + " sans exception."
+
+
+def test_long_notice_of_a_host_is_template(spark):
+    """A notice of over 600 characters on every page of a host is boilerplate; a long paragraph that varies isn't."""
+    assert len(NOTICE) > 600
+    rows = []
+    for i in range(30):
+        title, text, main = page(i, "h.example")
+        long = " ".join(PARAGRAPH.format("Zo" + chr(97 + i % 26) * (1 + i // 26) + chr(97 + j), i, j) for j in range(7))
+        rows.append((i, "h.example", title, None, f"{text}\n{long}\n{NOTICE}"))
+    df = spark.createDataFrame(rows, "page long, site string, title string, author string, text string")
+    got = {tuple(r) for r in boilerplate.boilerplate_lines(df).collect()}
+    for i, _, _, _, text in rows:
+        n = text.count("\n") + 1
+        assert (i, n) in got and (i, n - 1) not in got
+
+
+def test_share_keeps_frequent_headings(spark):
+    """On a large host a heading that stands in few of its articles isn't template; on a host with a template cue words don't count."""
+    rows = []
+    for i in range(400):
+        title, text, _ = page(i, "h.example")
+        lines = text.split("\n")
+        at = next(k for k, x in enumerate(lines) if x.startswith("Les maraîchers"))
+        if i % 80 == 0:
+            lines.insert(at + 1, "Le contexte")
+        if i == 7:
+            lines.insert(at + 1, PARAGRAPH.format("Zeba", 1, 2) + " La newsletter des paysans et leurs données personnelles y sont nées.")
+        rows.append((i, "h.example", title, None, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "page long, site string, title string, author string, text string")
+    cut = {(r.page, r.line_no) for r in boilerplate.boilerplate_lines(df).collect()}
+    lines = {i: text.split("\n") for i, _, _, _, text in rows}
+    assert not [p for p, n in cut if lines[p][n - 1] == "Le contexte" or "newsletter" in lines[p][n - 1]]
+
+
+def test_partial_tree_alignment():
+    pages = [([1, 2, 3], [1, 1, 1], 10), ([1, 4, 3], [1, 1, 1], 11), ([4, 5, 3], [1, 1, 1], 12), ([9], [1], 13), ([], [], 14), ([9, 9], [1, 1], 13)]
+    assert boilerplate.align(pages) == {(1, 10), (1, 11), (3, 10), (3, 11), (3, 12), (4, 11), (4, 12)}
+
+
 def test_simple_tree_matching():
     assert boilerplate.simple_tree_matching([1, 2, 3, 4], [1, 1, 1, 1], [2, 9, 4, 1]) == [3, 1]
     assert boilerplate.simple_tree_matching([1, 2], [1, 9], [2, 1]) == [1]  # the heavier one
