@@ -113,10 +113,13 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return stage(count_tokens(docs), "document-tokens")
 
 
+def _capacities(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "size_limits").where("purpose = 'pack' and table_name = 'documents' and size_unit = 'tokens'")
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     """Documents assigned to containers of each pack size."""
-    caps = table(spark, d, "size_limits").where("purpose = 'pack' and table_name = 'documents' and size_unit = 'tokens'")
-    return p8.pack(_tokens(spark, d), caps).withColumnRenamed("doc", "doc_id")
+    return p8.pack(_tokens(spark, d), _capacities(spark, d)).withColumnRenamed("doc", "doc_id")
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +127,17 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return p8.fill_report(p8_pack(spark, d))
 
 
+def p8_pack_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Documents assigned to containers, the windows filled by the target shares of the sources as long as these last."""
+    return p8.pack(_tokens(spark, d), _capacities(spark, d), table(spark, d, "mix_targets")).withColumnRenamed("doc", "doc_id")
+
+
+def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each source with a target in each window of p8_pack_targets."""
+    items, targets = _tokens(spark, d), table(spark, d, "mix_targets")
+    return p8.window_shares(p8.pack(items, _capacities(spark, d), targets), items, targets)
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """Documents combined so that each source has its target share of all tokens."""
     return p9.mix(_tokens(spark, d), table(spark, d, "mix_targets")).withColumnRenamed("doc", "doc_id")
@@ -152,7 +166,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of this package by name."""
-    own = (p1_found, p1_body, p3_found, p3_repaired, p6_found, p6_spans, p6_cleaned, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_spans, p10_coverage)
+    own = (p1_found, p1_body, p3_found, p3_repaired, p6_found, p6_spans, p6_cleaned, p7_found, p7_pieces, p8_pack, p8_fill, p8_pack_targets, p8_windows, p9_mix, p9_shares, p10_found, p10_spans, p10_coverage)
     return {f.__name__: f for f in own}
 
 

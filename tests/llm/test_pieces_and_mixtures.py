@@ -1,7 +1,7 @@
 """Splitting, packing, mixing: invariants."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -64,6 +64,38 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), caps).count() == 0
 
 
+def test_packing_to_targets(spark):
+    """Windows are full and hold the target shares until a queue ends; then the others take its part."""
+    df, sizes = items(spark, 6000)
+    caps = spark.createDataFrame([(512,)], "max_size long")
+    targets = spark.createDataFrame([("hot", 0.2), ("a", 0.5), ("absent", 0.3)], "source string, target_share double")
+    packed = packing.pack(df, caps, targets, window_tokens=50_000)
+    rows = packed.collect()
+    whole = defaultdict(int)
+    for r in rows:
+        whole[r.doc] += r.n_tokens
+    assert dict(whole) == sizes
+    w = packing.window_shares(packed, df, targets).collect()
+    total = defaultdict(int)
+    for r in w:
+        total[r.window] += r.tokens
+    assert len(total) > 10 and all(abs(t - 50_000) < 4 * 512 for k, t in total.items() if k < max(total))
+    others = sum(r.n_tokens for r in df.dropDuplicates(["doc"]).collect() if r.source not in ("hot", "a")) / sum(sizes.values())
+    for r in w:
+        if r.window < len(total) // 3:  # before the queue of "a" ends
+            want = {"hot": 2 / 7 * (1 - others), "a": 5 / 7 * (1 - others), None: others}[r.source]
+            assert abs(r.share - want) < 0.05
+    assert {r.source for r in w if r.window == max(total) - 1} == {"hot"}
+
+
+def test_empty_texts_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "EMPTY_ITEMS", 20)
+    df = spark.createDataFrame([(i, "e", 0) for i in range(300)] + [(1000, "e", 5)], "doc long, source string, n_tokens long")
+    rows = packing.pack(df, spark.createDataFrame([(8,)], "max_size long")).collect()
+    windows = Counter(r.container.split("-")[1] for r in rows)
+    assert len(rows) == 301 and len(windows) == 15 and max(windows.values()) < 60
+
+
 def test_best_fit():
     c = packing.best_fit_decreasing([6, 5, 4, 5, 0], 10)
     assert c[0] == c[2] and c[1] == c[3]
