@@ -4,15 +4,18 @@ Method: Merkle subtree identities. A payload is parsed once; each object, list
 and value is canonicalised (members by name) and hashed bottom-up, so that equal
 subtrees have equal identities wherever they stand. Three tables result:
 
-* ``roots(record_id, source, node)``: the root identity of each record;
-* ``nodes(node, kind, value)``: each distinct node once; value is the canonical
-  text of a leaf;
-* ``bridge(parent, member, pos, child)``: each distinct node's links to its
-  members, with member name (objects) and 1-based place (lists), once for each
-  distinct parent. A record's occurrences are the paths from its root, so that
-  every occurrence is preserved although nothing is stored twice.
-
-Repetitions are dropped within each Arrow batch before the shuffle, then by key.
+* ``roots(record_id, source, node, kind, quoted)``: the root identity of each record;
+* ``nodes(node, kind, value)``: each distinct node once; value is a text, or the
+  canonical JSON of a number or truth value (kind ``literal``);
+* ``bridge(parent, member, pos, child, kind, quoted)``: each distinct node's links
+  to its members, with member name (objects), 1-based place (lists), the child's
+  kind, and whether the child stood as JSON in a string, once for each distinct
+  parent. A record's occurrences are the paths from its root, so that every
+  occurrence is preserved although nothing is stored twice.
+
+Flat tables are walks from the roots (``walk``): all paths go down together, one
+join with the bridge a level. Identities are 16 bytes. Repetitions are dropped
+within each Arrow batch before the shuffle, then by key.
 
 A text that holds JSON of an object or list counts as that. Payloads that are
 null or not complete JSON (cut short, trailing text, NaN) give no rows. Of equal
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from granary.plans.staging import stage
 
-LEAF, LIST, OBJECT, NULL = "leaf", "list", "object", "null"
+TEXT, LITERAL, LIST, OBJECT, NULL = "text", "literal", "list", "object", "null"
 
 
 def _refuse(name: str) -> None:
@@ -53,121 +56,136 @@ def _unwrap(x):
     return y if isinstance(y, (dict, list)) else x
 
 
-def shred(x, nodes: dict[str, tuple[str, str | None]], bridge: set[tuple[str, str | None, int, str]]) -> str:
-    """Add the subtree's nodes and links; return its identity."""
-    x = _unwrap(x)
-    if isinstance(x, dict):
-        members = [(k, 0, shred(v, nodes, bridge)) for k, v in sorted(x.items())]
-        kind, value = OBJECT, None
-    elif isinstance(x, list):
-        members = [(None, i, shred(v, nodes, bridge)) for i, v in enumerate(x, 1)]
-        kind, value = LIST, None
+def shred(x, nodes: dict[bytes, tuple[str, str | None]], bridge: set[tuple]) -> tuple[bytes, str, bool]:
+    """Add the subtree's nodes and links; return its identity, its kind and whether it was quoted."""
+    y = _unwrap(x) if isinstance(x, str) else x
+    quoted, members = y is not x, []
+    if isinstance(y, dict):
+        kind, value, parts = OBJECT, None, [b"o"]
+        for k in sorted(y):
+            child, c, q = shred(y[k], nodes, bridge)
+            members.append((k, 0, child, c, q))
+            name = k.encode("utf-8", "surrogatepass")
+            parts += [b"q" if q else b"p", len(name).to_bytes(4), name, child]
+    elif isinstance(y, list):
+        kind, value, parts = LIST, None, [b"a"]
+        for i, v in enumerate(y, 1):
+            child, c, q = shred(v, nodes, bridge)
+            members.append((None, i, child, c, q))
+            parts += [b"q" if q else b"p", child]
+    elif y is None:
+        kind, value, parts = NULL, None, [b"n"]
     else:
-        members = []
-        kind = NULL if x is None else LEAF
-        value = None if x is None else x if isinstance(x, str) else json.dumps(x)
-    own = json.dumps([kind, type(x).__name__ if kind == LEAF else "", value, members], ensure_ascii=False)
-    node = hashlib.blake2b(own.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        kind, value = (TEXT, y) if isinstance(y, str) else (LITERAL, json.dumps(y))
+        parts = [b"s" if kind == TEXT else b"l", value.encode("utf-8", "surrogatepass")]
+    node = hashlib.blake2b(b"".join(parts), digest_size=16).digest()
     if node not in nodes:
         nodes[node] = (kind, value)
-        bridge.update((node, k, p, c) for k, p, c in members)
-    return node
+        bridge.update((node, *m) for m in members)
+    return node, kind, quoted
 
 
 def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        nodes: dict[str, tuple[str, str | None]] = {}
-        bridge: set[tuple[str, str | None, int, str]] = set()
-        roots: set[tuple[str, str | None, str]] = set()
+        nodes: dict[bytes, tuple[str, str | None]] = {}
+        bridge: set[tuple] = set()
+        roots: set[tuple] = set()
         for record, source, payload in zip(*(c.to_pylist() for c in b.columns)):
             try:
                 x = _parse(payload)
             except (ValueError, RecursionError):
                 continue
-            roots.add((record, source, shred(x, nodes, bridge)))
-        rows = [("root", r, s, 0, n, None) for r, s, n in roots]
-        rows += [("node", n, k, 0, None, v) for n, (k, v) in nodes.items()]
-        rows += [("link", p, m, i, c, None) for p, m, i, c in bridge]
+            roots.add((record, source, *shred(x, nodes, bridge)))
+        rows = [("root", None, r, 0, n, k, s, q) for r, s, n, k, q in roots]
+        rows += [("node", n, None, 0, None, k, v, False) for n, (k, v) in nodes.items()]
+        rows += [("link", p, m, i, c, k, None, q) for p, m, i, c, k, q in bridge]
         if rows:
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+            kinds = (pa.string(), pa.binary(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["row", "a", "b", "pos", "c", "value"]
+                [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["row", "a", "name", "pos", "b", "kind", "value", "quoted"]
             )
 
 
 def merkle(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(roots, nodes, bridge) of ``records(record_id, source, payload)``."""
     some = records.select("record_id", "source", "payload").where("record_id is not null and payload is not null")
-    rows = some.mapInArrow(_shred_batches, "row string, a string, b string, pos int, c string, value string")
-    rows = stage(rows.distinct(), "p2-merkle")
+    rows = some.mapInArrow(_shred_batches, "row string, a binary, name string, pos int, b binary, kind string, value string, quoted boolean")
+    rows = stage(rows.distinct(), "p2-merkle", by="row")
+    of = lambda row, *c: rows.where(F.col("row") == row).select(*c)
     return (
-        rows.where("row = 'root'").select(F.col("a").alias("record_id"), F.col("b").alias("source"), F.col("c").alias("node")),
-        rows.where("row = 'node'").select(F.col("a").alias("node"), F.col("b").alias("kind"), "value"),
-        rows.where("row = 'link'").select(F.col("a").alias("parent"), F.col("b").alias("member"), "pos", F.col("c").alias("child")),
+        of("root", F.col("name").alias("record_id"), F.col("value").alias("source"), F.col("b").alias("node"), "kind", "quoted"),
+        of("node", F.col("a").alias("node"), "kind", "value"),
+        of("link", F.col("a").alias("parent"), F.col("name").alias("member"), "pos", F.col("b").alias("child"), "kind", "quoted"),
     )
 
 
-class Tree:
-    """Walking Merkle tables from the roots: each step is one equi-join on node identities."""
-
-    def __init__(self, nodes: DataFrame, bridge: DataFrame):
-        self.nodes, self.bridge = nodes, bridge
-
-    def member(self, at: DataFrame, name: str) -> DataFrame:
-        """Go to the member ``name`` of objects; rows without it end."""
-        links = self.bridge.where(F.col("member") == name).select("parent", "child")
-        return at.join(links, at["node"] == links["parent"]).drop("node", "parent").withColumnRenamed("child", "node")
-
-    def members(self, at: DataFrame, name: str) -> DataFrame:
-        """Go to each member of objects; its name goes to column ``name``."""
-        links = self.bridge.where("member is not null").select("parent", F.col("member").alias(name), "child")
-        return at.join(links, at["node"] == links["parent"]).drop("node", "parent").withColumnRenamed("child", "node")
-
-    def items(self, at: DataFrame, pos: str) -> DataFrame:
-        """Go to each item of lists, its place in column ``pos``; anything else is a list of itself."""
-        links = self.bridge.where("member is null").select("parent", F.col("pos").alias("_item"), "child")
-        lists = self.nodes.where(F.col("kind") == LIST).select(F.col("node").alias("_list"))
-        x = at.join(lists, at["node"] == F.col("_list"), "left")
-        x = x.join(links, F.col("_list") == F.col("parent"), "left").where("_list is null or child is not null")
-        return x.withColumn(pos, F.coalesce("_item", F.lit(1))).withColumn("node", F.coalesce("child", "node")).drop(
-            "_list", "_item", "parent", "child"
+# the steps of a path: to a member, to each member (its name is taken), to each item of a list (its place is taken; anything
+# else is a list of itself), to a member where the node is an object (other nodes stay)
+MEMBER, MEMBERS, ITEMS, OWN = "member", "members", "items", "own"
+Step = tuple[str, str | None]
+
+
+def walk(roots: DataFrame, bridge: DataFrame, paths: dict[str, list[Step]]) -> DataFrame:
+    """(record_id, source, path, taken, node): where each path ends, with the names and places taken on the way.
+
+    All paths go down together: a level is one join of the frontier with those
+    links of the bridge that some path asks for. Rows that have arrived join on a
+    key of their own record, so that frequent leaves make no hot key.
+    """
+    names = list(paths)
+    depth = max(map(len, paths.values()))
+
+    def by_path(column: str, values: list) -> Column:
+        out = F.lit(None).cast(column)
+        for i, v in enumerate(values):
+            out = F.when(F.col("path") == i, F.lit(v).cast(column)).otherwise(out)
+        return out
+
+    x = roots.select("record_id", "source", "node", "kind", F.array().cast("array<string>").alias("taken"),
+                     F.explode(F.array(*(F.lit(i) for i in range(len(names))))).alias("path"))
+    for level in range(depth):
+        steps = [paths[n][level] if level < len(paths[n]) else (None, None) for n in names]
+        op, want = by_path("string", [s[0] for s in steps]), by_path("string", [s[1] for s in steps])
+        x = x.withColumn("op", op).withColumn("want", want)
+        single = (F.col("op") == ITEMS) & (F.col("kind") != LIST)
+        stays = F.col("op").isNull() | single | ((F.col("op") == OWN) & (F.col("kind") != OBJECT))
+        x = x.withColumn("taken", F.when(single, F.concat("taken", F.array(F.lit("1")))).otherwise(F.col("taken")))
+        key = F.when(stays, F.encode(F.concat(F.lit("-"), "record_id"), "utf-8")).otherwise(F.col("node"))
+        x = x.withColumn("stays", stays).withColumn("key", key)
+        asked = [s for s in steps if s[0]]
+        wanted = F.lit(False)
+        for o, name in asked:
+            wanted = wanted | (F.col("member").isNull() if o == ITEMS else F.col("member").isNotNull() if o == MEMBERS else F.col("member") == name)
+        links = bridge.where(wanted).select("parent", "member", "pos", "child", F.col("kind").alias("child_kind"))
+        fits = F.when(F.col("op") == ITEMS, F.col("member").isNull()).when(F.col("op") == MEMBERS, F.col("member").isNotNull()).otherwise(
+            F.col("member") == F.col("want"))
+        x = x.join(links, (F.col("key") == F.col("parent")) & fits, "left").where(F.col("stays") | F.col("child").isNotNull())
+        more = F.when(F.col("child").isNotNull() & F.col("op").isin(ITEMS, MEMBERS), F.coalesce("member", F.col("pos").cast("string")))
+        x = x.select(
+            "record_id", "source", "path", F.coalesce("child", "node").alias("node"), F.coalesce("child_kind", "kind").alias("kind"),
+            F.when(more.isNotNull(), F.concat("taken", F.array(more))).otherwise(F.col("taken")).alias("taken"),
         )
+    return x.select("record_id", "source", by_path("string", names).alias("path"), "taken", "node")
 
-    def values(self, at: DataFrame) -> DataFrame:
-        """Keep non-null leaves; their text goes to ``item_value``."""
-        leaves = self.nodes.where(F.col("kind") == LEAF).select(F.col("node").alias("_leaf"), F.col("value").alias("item_value"))
-        return at.join(leaves, at["node"] == F.col("_leaf")).drop("_leaf", "node")
 
-    def name_or_self(self, at: DataFrame, name: str) -> DataFrame:
-        """Go to the member ``name`` where the node is an object; other nodes stay."""
-        links = self.bridge.where(F.col("member") == name).select("parent", "child")
-        kinds = self.nodes.where(F.col("kind") == OBJECT).select(F.col("node").alias("_object"))
-        x = at.join(kinds, at["node"] == F.col("_object"), "left").join(links, F.col("_object") == F.col("parent"), "left")
-        x = x.where("_object is null or child is not null")
-        return x.withColumn("node", F.coalesce("child", "node")).drop("_object", "parent", "child")
+# a payload that is itself a list holds one record or several
+PATHS: dict[str, list[Step]] = {
+    "steps": [(ITEMS, None), (MEMBER, "results_by_category"), (MEMBERS, None), (ITEMS, None), (MEMBER, "execution_path"), (ITEMS, None), (OWN, "node")],
+    "files": [(ITEMS, None), (MEMBER, "pdf_data"), (ITEMS, None), (MEMBER, "metadata"), (MEMBER, "filename")],
+    "alone": [(ITEMS, None), (MEMBER, "daily_units"), (ITEMS, None), (MEMBER, "precipitation_sum"), (ITEMS, None)],
+    "bundled": [(ITEMS, None), (MEMBERS, None), (ITEMS, None), (MEMBER, "daily_units"), (ITEMS, None), (MEMBER, "precipitation_sum"), (ITEMS, None)],
+}
 
 
 def flat_leaves(roots: DataFrame, nodes: DataFrame, bridge: DataFrame) -> DataFrame:
     """(record_id, relation, parent, pos, item_value): the leaves of the three flat tables."""
-    t = Tree(nodes, bridge)
-    no_parent = F.lit("")
-
-    def out(at: DataFrame, relation: str, parent: Column, pos: Column) -> DataFrame:
-        return at.select("record_id", F.lit(relation).alias("relation"), parent.alias("parent"), pos.cast("int").alias("pos"), "item_value")
-
-    # a payload that is itself a list holds one record or several
-    each = t.items(roots, "_root")
-    cases = t.items(t.members(t.member(each, "results_by_category"), "category"), "case_no")
-    steps = t.items(t.member(cases, "execution_path"), "step")
-    steps = t.values(t.name_or_self(steps, "node"))
-    files = t.values(t.member(t.member(t.items(t.member(each, "pdf_data"), "file"), "metadata"), "filename"))
-    alone = t.member(each, "daily_units").withColumn("zone", F.coalesce("source", no_parent))
-    bundled = t.member(t.items(t.members(each, "zone"), "_zone_no"), "daily_units")
-    units = alone.select("record_id", "zone", "node").unionByName(bundled.select("record_id", "zone", "node"))
-    units = t.values(t.items(t.member(t.items(units, "_units"), "precipitation_sum"), "_value"))
-    return (
-        out(steps, "execution_step", F.concat_ws("/", "category", F.col("case_no").cast("string")), F.col("step"))
-        .unionByName(out(files, "pdf_file", no_parent, F.col("file")))
-        .unionByName(out(units, "daily_unit", F.col("zone"), F.lit(1)))
-        .distinct()
-    )
+    x = walk(roots, bridge, PATHS)
+    leaves = nodes.where(F.col("kind").isin(TEXT, LITERAL)).select(F.col("node").alias("leaf"), F.col("value").alias("item_value"))
+    x = x.join(leaves, F.col("node") == F.col("leaf"))
+    taken = lambda i: F.get("taken", F.lit(i))
+    path = F.col("path")
+    relation = F.when(path == "steps", "execution_step").when(path == "files", "pdf_file").otherwise("daily_unit")
+    parent = F.when(path == "steps", F.concat_ws("/", taken(1), taken(2))).when(path == "files", "").when(
+        path == "alone", F.coalesce("source", F.lit(""))).otherwise(taken(1))
+    pos = F.when(path == "steps", taken(3)).when(path == "files", taken(1)).otherwise("1").cast("int")
+    return x.select("record_id", relation.alias("relation"), parent.alias("parent"), pos.alias("pos"), "item_value").distinct()

@@ -54,14 +54,17 @@ def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Each distinct subtree once, with the number of links that lead to it."""
     _, nodes, bridge = _merkle(spark, d)
     used = bridge.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("links"))
-    return nodes.join(used, "node", "left").select("node", "kind", "value", F.coalesce("links", F.lit(0)).alias("links"))
+    return nodes.join(used, "node", "left").select(
+        F.lower(F.hex("node")).alias("node"), "kind", "value", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p2_bridge(spark: SparkSession, d: str) -> DataFrame:
     """The links from each distinct parent to its members, and from each record to its root."""
     roots, _, bridge = _merkle(spark, d)
-    top = roots.select(F.col("record_id").alias("parent"), F.lit(None).cast("string").alias("member"), F.lit(0).alias("pos"), F.col("node").alias("child"))
-    return bridge.unionByName(top)
+    name = lambda c: F.lower(F.hex(c))
+    links = bridge.select(name("parent").alias("parent"), "member", "pos", name("child").alias("child"), "quoted")
+    return links.unionByName(roots.select(
+        F.col("record_id").alias("parent"), F.lit(None).cast("string").alias("member"), F.lit(0).alias("pos"), name("node").alias("child"), "quoted"))
 
 
 def p4_histories(spark: SparkSession, d: str) -> DataFrame:

@@ -32,12 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_local}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it back."""
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to a new table in the shared folder, partitioned ``by`` a column of few values if given, and read it back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def row_bytes(df: DataFrame):
