@@ -29,8 +29,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -115,7 +117,7 @@ def alike(a: str, b: str) -> float:
     tail = 0
     while tail < n - same and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    straight = sum(x == y for x, y in zip(a, b))
+    straight = sum(map(eq, a, b))
     return max(same + tail, straight) / max(len(a), len(b))
 
 
@@ -192,12 +194,8 @@ class Vocabulary:
 
 def page_number(line: str) -> tuple[str, int] | None:
     """(form, value) of a line that is only a page number."""
-    if len(line) > 120:
-        return None
     s = line.strip()
-    if not s or len(s) > 24:
-        return None
-    m = PAGE.match(s)
+    m = PAGE.match(s) if s else None
     if not m:
         return None
     digits = m["a"] or m["b"] or m["c"] or m["d"]
@@ -214,7 +212,7 @@ ROMAN = re.compile(r"^\W*(?=[ivxlc]+\W*$|[IVXLC]+\W*$)(m{0,3})(c[md]|d?c{0,3})(x
 def roman_number(line: str) -> int | None:
     """The value of a line that is only a Roman number in one case."""
     s = line.strip()
-    if not s or len(s) > 12 or not ROMAN.match(s):
+    if not s or not ROMAN.match(s):
         return None
     value, last = 0, 0
     for c in reversed([c for c in s.lower() if c.isalpha()]):
@@ -223,45 +221,102 @@ def roman_number(line: str) -> int | None:
     return value or None
 
 
+def _longest_chain(own: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
+    """The longest run of (line, value) that counts up by 1 to 3, a page being at least ``gap`` lines."""
+    size, before = [1] * len(own), [-1] * len(own)
+    # for each value its lines and the longest chain up to each
+    lines: dict[int, list[int]] = defaultdict(list)
+    best: dict[int, list[int]] = defaultdict(list)
+    for k, (i, v) in enumerate(own):
+        for step in (1, 2, 3):
+            at = bisect_right(lines[v - step], i - gap) - 1
+            if at >= 0 and size[best[v - step][at]] + 1 > size[k]:
+                before[k] = best[v - step][at]
+                size[k] = size[before[k]] + 1
+        lines[v].append(i)
+        last = best[v][-1] if best[v] else k
+        best[v].append(k if size[k] >= size[last] else last)
+    at = max(range(len(own)), key=lambda k: size[k], default=-1)
+    chain = []
+    while at >= 0:
+        chain.append(own[at])
+        at = before[at]
+    return chain[::-1]
+
+
 def number_chain(found: list[tuple[int, str, int]], gap: int = 8) -> set[int]:
-    """Lines of the longest sequence of page numbers in one form that counts up, a page being at least ``gap`` lines."""
-    best: list[int] = []
+    """Lines of the page numbers in one form that count up over the text.
+
+    Numbers may be missing: chains are joined to the longest one where lines and
+    values between them allow for pages of at least ``gap`` lines.
+    """
+    result: list[tuple[int, int]] = []
     for form in {f for _, f, _ in found}:
-        own = [(i, v) for i, f, v in found if f == form]
-        size, before = [1] * len(own), [-1] * len(own)
-        by_value: dict[int, list[int]] = defaultdict(list)
-        for k, (i, v) in enumerate(own):
-            for step in (1, 2, 3):
-                for j in by_value.get(v - step, ())[-50:]:
-                    if i - own[j][0] >= gap and size[j] + 1 > size[k]:
-                        size[k], before[k] = size[j] + 1, j
-            by_value[v].append(k)
-        at = max(range(len(own)), key=lambda k: size[k])
-        chain = []
-        while at >= 0:
-            chain.append(own[at][0])
-            at = before[at]
-        if len(chain) > len(best):
-            best = chain
-    return set(best)
+        own = sorted((i, v) for i, f, v in found if f == form)
+        chains = [_longest_chain(own, gap)]
+        while True:
+            taken = sorted(x for c in chains for x in c)
+            first, last = taken[0], taken[-1]
+            fits = lambda x: (x < first and 0 < (first[1] - x[1]) * gap <= first[0] - x[0]) or (
+                x > last and 0 < (x[1] - last[1]) * gap <= x[0] - last[0])
+            more = _longest_chain([x for x in own if fits(x)], gap)
+            if len(more) < 2 or len(chains[0]) < 2:
+                break
+            chains.append([x for x in more if (x < first) == (more[0] < first)])
+        if len(taken) > len(result):
+            result = taken
+    return {i for i, _ in result}
+
+
+class Groups:
+    """Keys under the first key that is like them; candidates share some letters in place, so none is missed."""
+
+    def __init__(self):
+        self.members: dict[str, list[int]] = {}
+        self._homes: list[str] = []
+        self._at: dict[tuple[int, str], list[int]] = defaultdict(list)
+
+    @staticmethod
+    def _parts(key: str) -> list[tuple[int, str]]:
+        # alike() at 0.85 asks for an equal start or end of four letters, or for under one difference in four letters
+        n = 4 if len(key) > 9 else 3
+        parts = [(p, key[p : p + n]) for p in range(0, len(key) - n + 1, n)]
+        parts.append((-1, key[-n:]))
+        if n == 4 and len(key) < 12:  # as shorter keys of up to two letters less are read
+            parts += [(p, key[p : p + 3]) for p in range(0, len(key) - 2, 3)] + [(-1, key[-3:])]
+        return parts
+
+    def add(self, key: str, i: int) -> None:
+        if key not in self.members:
+            near = {h for part in self._parts(key) for h in self._at.get(part, ())}
+            for h in sorted(near):
+                home = self._homes[h]
+                if abs(len(home) - len(key)) <= 2 and alike(home, key) >= 0.85:
+                    key = home
+                    break
+            else:
+                self.members[key] = []
+                for part in self._parts(key):
+                    self._at[part].append(len(self._homes))
+                self._homes.append(key)
+        self.members[key].append(i)
 
 
 def furniture(lines: list[str], title: str | None, words: Vocabulary) -> set[int]:
     """Indexes of running headers, footers and page numbers."""
     filled = [i for i, s in enumerate(lines) if s.strip()]
-    if len(filled) < 4:
+    if not filled:
         return set()
     place = {i: k for k, i in enumerate(filled)}
     feed = {i for i in filled if lines[i].startswith("\f")}
     numbers = []
     for i in filled:
-        if len(lines[i]) <= 120:
-            s = lines[i].replace("\f", "")
-            x, r = page_number(s), roman_number(s)
-            if r is not None:
-                numbers.append((i, "roman", r))
-            if x and not (r is not None and x[0] == "plain" and s.strip() not in ("ll", "l", "I", "II")):
-                numbers.append((i, *x))
+        s = lines[i].strip("\f \t")
+        x, r = page_number(s), roman_number(s)
+        if r is not None:
+            numbers.append((i, "roman", r))
+        if x and not (r is not None and x[0] == "plain" and s.strip() not in ("ll", "l", "I", "II")):
+            numbers.append((i, *x))
     plain = {i for i, f, _ in numbers if f == "plain"}
     in_table = {i for i in plain if (i - 1 in plain) or (i + 1 in plain)}
     chain = number_chain([x for x in numbers if x[0] not in in_table])
@@ -269,9 +324,9 @@ def furniture(lines: list[str], title: str | None, words: Vocabulary) -> set[int
     out |= {i for i, f, _ in numbers if f in ("word", "dash", "slash")}
 
     first = lines[filled[0]]
-    raw = [x.strip() for x in (title or "", first) if x and x.strip() and len(x) < 200]
+    raw = [x.strip() for x in (title or "", first) if x and x.strip()]
     names = [(fuzzy_key(x), x[:4].lower()) for x in raw]
-    names += [(fuzzy_key(p), p[:4].lower()) for p in PARTS.split(first.strip()) if p != first.strip() and len(p) < 200]
+    names += [(fuzzy_key(p), p[:4].lower()) for p in PARTS.split(first.strip()) if p != first.strip()]
     names = [x for x in names if len(x[0]) >= 8]
     keys: dict[int, str] = {}
     titled: list[int] = []
@@ -279,7 +334,7 @@ def furniture(lines: list[str], title: str | None, words: Vocabulary) -> set[int
     series: list[int] = []
     for i in filled:
         s = lines[i].strip()
-        if i in out or len(s) > 160 or s[-1] in ".;":
+        if i in out or s[-1] in ".;":
             continue
         if s[0].islower():
             h = s[:4].lower()
@@ -312,12 +367,11 @@ def furniture(lines: list[str], title: str | None, words: Vocabulary) -> set[int
         own = set()
     out |= {i for i in titled if i not in own}
 
-    groups: dict[str, list[int]] = defaultdict(list)
+    groups = Groups()
     for i, key in keys.items():
         if i in out or i in own or len(key) < 4:
             continue
-        home = key if key in groups else next((g for g in groups if abs(len(g) - len(key)) <= 2 and alike(g, key) >= 0.85), key)
-        groups[home].append(i)
+        groups.add(key, i)
 
     def edge(i: int) -> bool:
         k = place[i]
@@ -325,7 +379,7 @@ def furniture(lines: list[str], title: str | None, words: Vocabulary) -> set[int
         after = filled[k + 1] if k + 1 < len(filled) else None
         return i in feed or after in feed or any(j in out for j in near)
 
-    for members in groups.values():
+    for members in groups.members.values():
         at_edge = [i for i in members if edge(i)]
         if len(members) >= 2 and len(at_edge) * 2 >= len(members):
             out |= set(members)
@@ -352,8 +406,8 @@ def furniture(lines: list[str], title: str | None, words: Vocabulary) -> set[int
     return out
 
 
-def read_scan(text: str, title: str | None, words: Vocabulary) -> tuple[list[tuple[int, str]], list[str]]:
-    """(faults as (line, kind), repaired paragraphs) of a text."""
+def read_scan(text: str, title: str | None, words: Vocabulary, repaired: bool = True) -> tuple[list[tuple[int, str]], list[str]]:
+    """(faults as (line, kind), repaired paragraphs, none if not asked for) of a text."""
     lines = text.replace("_", " ").split("\n")
     gone = furniture(lines, title, words)
     faults = [(i + 1, "furniture") for i in sorted(gone)]
@@ -415,6 +469,8 @@ def read_scan(text: str, title: str | None, words: Vocabulary) -> tuple[list[tup
             for a, b, x in reversed(wrong):
                 s = s[:a] + x + s[b:]
             fixed[i] = s
+    if not repaired:
+        return faults, []
     paragraphs: list[str] = []
     open_text, skip, gap = "", 0, True
     for i in body:
@@ -452,10 +508,10 @@ def read_scan(text: str, title: str | None, words: Vocabulary) -> tuple[list[tup
 
 def edge_keys(lines: list[str]) -> Iterator[tuple[str, bool]]:
     """(key, at an edge) of each part of the lines that may be headers of a series."""
-    edges = {i for i, s in enumerate(lines) if s.startswith("\f") or (len(s) <= 120 and page_number(s))}
+    edges = {i for i, s in enumerate(lines) if s.startswith("\f") or page_number(s)}
     for i, s in enumerate(lines):
         t = s.strip()
-        if 6 <= len(t) <= 120 and not t[0].islower() and t[-1] not in ".;,:":
+        if len(t) >= 6 and not t[0].islower() and t[-1] not in ".;,:":
             near = i in edges or not edges.isdisjoint((i - 1, i + 1, i - 2, i + 2))
             parts = PARTS.split(t)
             if near or len(parts) > 1:
@@ -524,7 +580,7 @@ def _read(texts: DataFrame, words: Vocabulary, repaired: bool) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for item, field, title, text in zip(*(c.to_pylist() for c in b.columns)):
-                faults, paragraphs = read_scan(text, title, v)
+                faults, paragraphs = read_scan(text, title, v, repaired)
                 if repaired:
                     out.append((item, field, len(faults), "\n\n".join(paragraphs)))
                 else:
