@@ -56,3 +56,55 @@ def correct_words(words: list[str], cutoff: float = 0.8):
         return texts.map(lambda t: None if t is None else " ".join(one(w) for w in t.split(" ")))
 
     return run
+
+
+PLOT = "crop string, status string, area_ha double, soil_type string, planting_date string"
+
+
+def add_plot(plots: Column, plot: Column) -> Column:
+    """``plots`` (array of PLOT) with ``plot`` added, or the active plot of the same crop updated by what the new one states."""
+    same = lambda p: (F.lower(p["crop"]) == F.lower(plot["crop"])) & (p["status"] == "ACTIVE")
+    first = F.array_position(F.transform(plots, lambda p: F.coalesce(same(p), F.lit(False))), F.lit(True))
+    def updated(p, i):
+        fields = [F.coalesce(plot[f], p[f]).alias(f) for f in ("area_ha", "soil_type", "planting_date")]
+        return F.when(i + 1 == first, F.struct(p["crop"].alias("crop"), p["status"].alias("status"), *fields)).otherwise(p)
+    new = F.struct(plot["crop"].alias("crop"), F.lit("ACTIVE").alias("status"), *(plot[f].alias(f) for f in ("area_ha", "soil_type", "planting_date")))
+    return F.when(F.coalesce(first, F.lit(0)) > 0, F.transform(plots, updated)).otherwise(F.concat(F.coalesce(plots, F.array().cast(f"array<struct<{_fields(PLOT)}>>")), F.array(new)))
+
+
+def _fields(schema: str) -> str:
+    return ", ".join(f"{n}:{t}" for n, t in (x.split() for x in schema.split(", ")))
+
+
+def profile_text(zone: Column, commune: Column, plots: Column, livestock: Column, equipment: Column, budget: Column, water: Column, hands: Column) -> Column:
+    """One line on a profile: place, active plots, livestock, at most five pieces of equipment, constraints; empty if nothing is known."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    place = some(F.concat_ws(", ", some(zone), some(commune)))
+    active = F.filter(plots, lambda p: p["status"] == "ACTIVE")
+    named = F.transform(active, lambda p: F.concat(
+        F.when(p["area_ha"] > 0, F.concat(p["area_ha"].cast("string"), F.lit("ha "))).otherwise(""), F.coalesce(p["crop"], F.lit("?")),
+        F.coalesce(F.concat(F.lit(" (semé "), some(p["planting_date"]), F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(" sol:"), some(p["soil_type"])), F.lit(""))))
+    animals = F.transform(livestock, lambda a: F.concat(F.coalesce(a["count"].cast("string"), F.lit("?")), F.lit(" "), F.coalesce(a["type"], F.lit("?"))))
+    limits = F.array_compact(F.array(
+        F.when(budget > 0, F.concat(F.lit("budget "), F.format_number(budget, 0), F.lit(" FCFA"))), F.concat(F.lit("eau: "), some(water)),
+        F.when(hands > 0, F.concat(hands.cast("string"), F.lit(" ouvriers")))))
+    joined = lambda label, a: F.concat(F.lit(label), some(F.array_join(a, ", ")))
+    parts = F.array_compact(F.array(
+        F.concat(F.lit("Zone="), place), joined("Parcelles: ", named), joined("Bétail: ", animals), joined("Équipement: ", F.slice(equipment, 1, 5)), joined("Contraintes: ", limits)))
+    return F.when(F.size(parts) > 0, F.concat(F.lit("PROFIL AGRICULTEUR: "), F.array_join(parts, ". "), F.lit("."))).otherwise("")
+
+
+def prune_components(components: Column, caps: dict) -> Column:
+    """``components`` (array of struct(type, image_url, actions, items)) that a channel can show: whole ones left out, lists cut.
+
+    ``caps``: charts, images, interactive (truth values), buttons, list_items (counts, 0 for any number). Charts and
+    interactive components (action, list_picker, user_approval) go where the channel can't; cards lose images.
+    """
+    interactive = ("action", "list_picker", "user_approval")
+    kept = F.filter(components, lambda c: ~((c["type"] == "chart") & F.lit(not caps["charts"])) & ~(c["type"].isin(*interactive) & F.lit(not caps["interactive"])))
+    def shown(c):
+        image = F.when((c["type"] == "card") & F.lit(not caps["images"]), F.lit("")).otherwise(c["image_url"])
+        actions = F.when(c["type"] == "card", F.slice(c["actions"], 1, caps["buttons"])).otherwise(c["actions"]) if caps["buttons"] else c["actions"]
+        items = F.when(c["type"] == "list_picker", F.slice(c["items"], 1, caps["list_items"])).otherwise(c["items"]) if caps["list_items"] else c["items"]
+        return F.struct(c["type"].alias("type"), image.alias("image_url"), actions.alias("actions"), items.alias("items"))
+    return F.transform(kept, shown)

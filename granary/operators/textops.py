@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 from granary.functions.text import strip_accents
 
 # fixed values: phrases a short message can do without
-STOP_PHRASES = ("bonjour", "s'il vous plaît", "je vous recommande de", "n'hésitez pas à", "il est important de", "veuillez noter que")
+STOP_PHRASES = (
+    "Bonjour,", "Salut,", "Cher agriculteur,", "Cordialement,", "En tant que votre assistant,", "Je vous conseille de",
+    "D'après mes analyses,", "Voici ce que je préconise :",
+)
+# fixed values: words and the signs that stand for them in a short message
+ICONS = {
+    "attention": "⚠️", "alerte": "🚨", "conseil": "💡", "importance": "❗", "pluie": "🌧️", "soleil": "☀️", "argent": "💰", "franc cfa": "F", "FCFA": "F",
+}
 
 
 def word_count(text: Column) -> Column:
@@ -79,12 +86,59 @@ def strip_markup(text: Column) -> Column:
 
 
 def compress_message(text: Column, size: int = 320) -> Column:
-    """A short message: markup and stop phrases dropped, blanks collapsed, cut with dots at ``size``."""
-    out = strip_markup(text)
-    for p in STOP_PHRASES:
-        out = F.regexp_replace(out, f"(?iU)\\b{p}\\b[ ,]*", "")
-    out = F.trim(F.regexp_replace(out, r"\s+", " "))
-    return F.when(F.length(out) > size, F.concat(F.substring(out, 1, size - 3), F.lit("..."))).otherwise(out)
+    """A text for a short message: markup, filling phrases and line breaks out, signs for words, cut with dots at ``size``; empty for null."""
+    t = F.coalesce(text, F.lit(""))
+    for pattern, kept in ((r"\*\*(.*?)\*\*", "$1"), (r"\*(.*?)\*", "$1"), (r"#+\s", ""), (r"\[(.*?)\]\(.*?\)", "$1"), (r"\n+", " ")):
+        t = F.regexp_replace(t, pattern, kept)
+    t = F.trim(t)
+    for phrase in STOP_PHRASES:
+        t = F.replace(t, F.lit(phrase), F.lit(""))
+    for word, icon in ICONS.items():
+        t = F.regexp_replace(t, rf"(?iU)\b{word}\b", icon)
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.when(F.length(t) > size, F.concat(F.substring(t, 1, size - 3), F.lit("..."))).otherwise(t)
+
+
+def inbound_query(text: Column) -> Column:
+    """The question behind a coded message: M for weather, P for prices, A for an alert."""
+    t = F.upper(F.trim(text))
+    rest = F.substr(t, F.lit(3))
+    return (
+        F.when(t.startswith("M "), F.concat(F.lit("Météo pour "), rest)).when(t.startswith("P "), F.concat(F.lit("Prix du marché pour "), rest))
+        .when(t.startswith("A "), F.concat(F.lit("Je signale une alerte : "), rest)).otherwise(t)
+    )
+
+
+def confirmation(text: Column) -> Column:
+    """CONFIRMED, CANCELLED or null by the first kind of answer a text holds."""
+    yes, no = r"(?iU)\b(oui|ok|d'accord|c'est bon|valide|confirme)\b", r"(?iU)\b(non|annule|stop|pas bonne|erreur)\b"
+    return F.when(text.rlike(yes), "CONFIRMED").when(text.rlike(no), "CANCELLED")
+
+
+def first_json_block(text: Column) -> Column:
+    """The first {...} block of a text that is JSON, else the text if it is; null if nothing is."""
+    is_json = lambda x: F.try_parse_json(x).isNotNull()
+    blocks = F.filter(F.regexp_extract_all(text, F.lit(r"(?s)(\{.*?\})"), 1), is_json)
+    return F.coalesce(F.get(blocks, F.lit(0)), F.when(is_json(text), text))
+
+
+def fenced(text: Column) -> Column:
+    """What stands in the first code fence of a text, without the word json; the text itself if it has none."""
+    parts = F.split(text, "```")
+    return F.when(F.size(parts) > 1, F.regexp_replace(parts[1], "^json", "")).otherwise(text)
+
+
+def surface_m2(text: Column) -> Column:
+    """A surface in a text, hectares before square metres, in m²; null without one."""
+    number = lambda p: F.regexp_replace(F.nullif(F.regexp_extract(text, p, 1), F.lit("")), ",", ".").try_cast("double")
+    ha = number(r"(\d+(?:[.,]\d+)?)\s*(?:ha|hectare|hectares)")
+    m2 = number(r"(\d+(?:[.,]\d+)?)\s*(?:m2|m²|mc|metres?\s*carres?|mètres?\s*carrés?)")
+    return F.coalesce(ha * 10000, m2)
+
+
+def key(text: Column) -> Column:
+    """A key as registries compare it: upper case, trimmed."""
+    return F.upper(F.trim(text))
 
 
 def is_phone(text: Column) -> Column:
