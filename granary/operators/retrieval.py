@@ -13,9 +13,7 @@ from granary.functions.text import strip_accents
 from granary.operators.relational import top_k
 from granary.plans.staging import stage
 
-# fixed values: crops to tag, folded
 BLOCK = 1024  # vectors in a block
-CROPS = "mil|mais|sorgho|riz|niebe|coton|sesame|arachide"
 
 
 def content_id(source: Column, text: Column) -> Column:
@@ -52,17 +50,33 @@ def sentence_chunks(df: DataFrame, text: str, size: int) -> DataFrame:
     return df.where(F.col(text).isNotNull()).select(*keep, F.posexplode(chunks).alias("chunk_no", "chunk"))
 
 
-def category(source: Column) -> Column:
-    """Category of a source by ordered rules."""
-    return (
-        F.when(source.contains("meteo"), "weather").when(source.contains("marche") | source.contains("prix"), "market")
-        .when(source.startswith("guide") | source.startswith("manuel"), "training").otherwise("general")
-    )
-
-
-def tags(text: Column, pattern: str) -> Column:
-    """Distinct matches of a pattern in the folded text, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(strip_accents(text)), F.lit(f"({pattern})"), 1)))
+def path_class(path: Column, folders: dict[str, tuple[str, str]]) -> Column:
+    """struct(doc_type, category, source_folder) of a path: by the first folder that is known, else by the file's name."""
+    parts, file = F.split(path, "/"), F.lower(F.element_at(F.split(path, "/"), -1))
+    weather = file.contains("bulletin") | file.contains("meteo")
+    kind = F.when(weather, "weather_bulletin").otherwise("agronomy_knowledge")
+    group, folder = F.when(weather, "climat").otherwise("technique_culturale"), F.lit("raw_data")
+    for name, (t, c) in reversed(folders.items()):
+        inside = F.array_contains(parts, name)
+        kind, group, folder = F.when(inside, t).otherwise(kind), F.when(inside, c).otherwise(group), F.when(inside, name).otherwise(folder)
+    return F.struct(kind.alias("doc_type"), group.alias("category"), folder.alias("source_folder"))
+
+
+# fixed values: words that tag a text
+TAGS = {
+    "crops": "mais|sorgho|mil|coton|arachide|niebe|riz|oignon|tomate|manioc|sesame",
+    "weather": "pluie|secheresse|inondation|innondation|temperature|vent|humidite|climat",
+    "themes": "marche|prix|subvention|irrigation|semences|engrais|pesticide|bio|elevage",
+}
+# fixed values: tags and their canonical names
+CANONICAL = {"mais": "maïs", "niebe": "niébé", "secheresse": "sécheresse", "temperature": "température", "humidite": "humidité", "innondation": "inondation"}
+
+
+def tags(folded: str, words: str) -> Column:
+    """Distinct canonical tags in a folded text, sorted."""
+    names = F.create_map(*(F.lit(x) for kv in CANONICAL.items() for x in kv))
+    found = F.regexp_extract_all(folded, F.lit(f"({words})"), 1)
+    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(found), lambda t: F.coalesce(F.try_element_at(names, t), t))))
 
 
 def inner_product(a: Column, b: Column) -> Column:

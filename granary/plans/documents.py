@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import fold
 from granary.functions.urls import host
+from granary.functions.text import strip_accents
 from granary.operators import retrieval, textops
 from granary.operators.relational import top_k
 from granary.plans.catalog import Catalog
@@ -52,17 +53,8 @@ def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.sentence_chunks(docs(spark, d).select("doc_id", "text"), "text", 650)
 
 
-@C.query("""
-select doc_id, lower(strip_accents(substr(text, 1, 80))) as key from documents where lang in ('fr', 'en')""")
+@C.query("select doc_id, coalesce(lower(strip_accents(trim(replace(text, chr(160), ' ')))), '') as key from documents")
 def accent_normalise(spark: SparkSession, d: str) -> DataFrame:
-    """Lower case without accents, JVM-side."""
-    from granary.functions.text import strip_accents
-
-    return docs(spark, d).where("lang in ('fr', 'en')").select("doc_id", F.lower(strip_accents(F.substring("text", 1, 80))).alias("key"))
-
-
-@C.query()
-def accent_normalise_all(spark: SparkSession, d: str) -> DataFrame:
     """Every whole text trimmed, in lower case, compatibility forms decomposed, without accents; null is empty."""
     return textops.normalised(docs(spark, d), "doc_id", "text")
 
@@ -76,17 +68,9 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", textops.token_estimate(F.col("text")).alias("tokens"), (textops.word_count(F.col("text")) < 5).alias("vague"))
 
 
-@C.query("""
-select doc_id, unnest([substr(text, i * 160 + 1, 160) for i in generate_series(0, (length(text) - 1) // 160)]) as segment from documents where length(text) between 1 and 1000""")
-def sms_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Texts cut into segments of 160 characters."""
-    short = docs(spark, d).where(F.length("text").between(1, 1000))
-    return short.select("doc_id", F.explode(textops.segments(F.col("text"), 160)).alias("segment"))
-
-
 @C.query("""
 select doc_id, unnest([substr(text, i * 160 + 1, 160) for i in generate_series(0, (length(text) - 1) // 160)]) as segment from documents where length(text) >= 1""")
-def sms_segments_all(spark: SparkSession, d: str) -> DataFrame:
+def sms_segments(spark: SparkSession, d: str) -> DataFrame:
     """Every text, of any length, cut into segments of 160 characters."""
     t = docs(spark, d).where(F.length("text") >= 1)
     return t.select("doc_id", F.explode(textops.segments(F.col("text"), 160)).alias("segment"))
@@ -101,63 +85,85 @@ def truncate_text(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", textops.truncate(t, 200).alias("preview"), textops.one_line(t, 500).alias("csv_content"))
 
 
-@C.query("""
-select doc_id, case when source like '%meteo%' then 'weather' when source like '%marche%' or source like '%prix%' then 'market'
- when source like 'guide%' or source like 'manuel%' then 'training' else 'general' end as category, coalesce(doc_type, 'txt') as kind,
- case when source like '%meteo%' then 3 when source like 'guide%' then 2 else 1 end as priority from documents""")
+FOLDERS = {
+    "news_articles": ("news_article", "actualites_agricoles"), "fao_publications": ("fao_publication", "recherche_fao"),
+    "technical_resources": ("technical_resource", "ressources_techniques"), "data_platforms": ("statistical_data", "donnees_statistiques"),
+    "fews_net": ("fews_report", "securite_alimentaire"), "soil_grids": ("soil_data", "pedologie"),
+}  # fixed values: folders with the type and category of what lies in them
+_PATH = """(select doc_id, 'raw/' || ['news_articles', 'fao_publications', 'technical_resources', 'data_platforms', 'fews_net', 'soil_grids', 'divers'][1 + doc_id % 7] || '/' || coalesce(source, 'x') || '.txt' as path from documents)"""
+
+
+@C.query(f"""
+with x as (select doc_id, path, string_split(path, '/')[2] as folder, lower(string_split(path, '/')[-1]) as file from {_PATH}),
+k(folder, doc_type, category) as (values ('news_articles', 'news_article', 'actualites_agricoles'), ('fao_publications', 'fao_publication', 'recherche_fao'),
+ ('technical_resources', 'technical_resource', 'ressources_techniques'), ('data_platforms', 'statistical_data', 'donnees_statistiques'), ('fews_net', 'fews_report', 'securite_alimentaire'), ('soil_grids', 'soil_data', 'pedologie')),
+y as (select doc_id, k.folder, coalesce(k.doc_type, case when contains(file, 'bulletin') or contains(file, 'meteo') then 'weather_bulletin' else 'agronomy_knowledge' end) as doc_type,
+ coalesce(k.category, case when contains(file, 'bulletin') or contains(file, 'meteo') then 'climat' else 'technique_culturale' end) as category from x left join k using (folder))
+select doc_id, doc_type, category, coalesce(folder, 'raw_data') as source_folder, case when doc_type in ('news_article', 'fao_publication', 'technical_resource') then 'high'
+ when doc_type in ('weather_bulletin', 'fews_report') then 'medium' else 'normal' end as priority from y""")
 def doc_type_from_path(spark: SparkSession, d: str) -> DataFrame:
-    """Category and priority of a document from where it comes from."""
-    s = F.col("source")
-    return docs(spark, d).select(
-        "doc_id", retrieval.category(s).alias("category"), F.coalesce("doc_type", F.lit("txt")).alias("kind"),
-        F.when(s.contains("meteo"), 3).when(s.startswith("guide"), 2).otherwise(1).alias("priority"))
+    """Type, category, folder and priority of a document from its path."""
+    names = F.array(*map(F.lit, (*FOLDERS, "divers")))
+    path = F.concat(F.lit("raw/"), F.element_at(names, (F.col("doc_id") % 7 + 1).cast("int")), F.lit("/"), F.coalesce("source", F.lit("x")), F.lit(".txt"))
+    x = docs(spark, d).select("doc_id", retrieval.path_class(path, FOLDERS).alias("c")).select("doc_id", "c.*")
+    t = F.col("doc_type")
+    return x.withColumn("priority", F.when(t.isin("news_article", "fao_publication", "technical_resource"), "high").when(t.isin("weather_bulletin", "fews_report"), "medium").otherwise("normal"))
 
 
 @C.query("""
-select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(strip_accents(text)), 'mil|mais|sorgho|riz|niebe|coton|sesame|arachide'))), ',') as crops from documents""")
+with x as (select doc_id, lower(strip_accents(text)) as t from documents)
+select doc_id, array_to_string(list_sort(list_distinct([case v when 'mais' then 'maïs' when 'niebe' then 'niébé' else v end for v in regexp_extract_all(t, 'mais|sorgho|mil|coton|arachide|niebe|riz|oignon|tomate|manioc|sesame')])), ',') as crops,
+ array_to_string(list_sort(list_distinct([case v when 'secheresse' then 'sécheresse' when 'temperature' then 'température' when 'humidite' then 'humidité' when 'innondation' then 'inondation' else v end
+ for v in regexp_extract_all(t, 'pluie|secheresse|inondation|innondation|temperature|vent|humidite|climat')])), ',') as weather,
+ array_to_string(list_sort(list_distinct(regexp_extract_all(t, 'marche|prix|subvention|irrigation|semences|engrais|pesticide|bio|elevage'))), ',') as themes from x""")
 def tag_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Crops named in a text, without word boundaries, sorted."""
-    return docs(spark, d).select("doc_id", F.array_join(retrieval.tags(F.col("text"), retrieval.CROPS), ",").alias("crops"))
+    """Crops, weather and themes named in a text, without word boundaries, under their canonical names, sorted."""
+    folded = F.lower(strip_accents(F.col("text")))
+    return docs(spark, d).withColumn("folded", folded).select(
+        "doc_id", *(F.array_join(retrieval.tags("folded", words), ",").alias(name) for name, words in retrieval.TAGS.items()))
+
+
+# fixed values: terms of which a relevant page holds at least two
+TERMS = (
+    "burkina", "faso", "sahel", "agriculture", "céréale", "mil", "sorgho", "maïs", "culture", "irrigation", "fertilisant", "semence", "récolte",
+    "climat", "sécheresse", "pluviométrie", "agronomie", "paysan", "production", "rendement", "technique", "pratique",
+)
 
 
 @C.query("""
-select doc_id, hits from (select doc_id, (case when contains(lower(text), 'semence') then 1 else 0 end + case when contains(lower(text), 'stockage') then 1 else 0 end
- + case when contains(lower(text), 'engrais') then 1 else 0 end + case when contains(lower(text), 'pluie') then 1 else 0 end
- + case when contains(lower(text), 'marché') then 1 else 0 end) as hits from documents) where hits >= 2""")
+with t(term) as (select unnest(['burkina', 'faso', 'sahel', 'agriculture', 'céréale', 'mil', 'sorgho', 'maïs', 'culture', 'irrigation', 'fertilisant', 'semence', 'récolte',
+ 'climat', 'sécheresse', 'pluviométrie', 'agronomie', 'paysan', 'production', 'rendement', 'technique', 'pratique'])),
+x as (select doc_id, lower(coalesce(source, '') || ' ' || text) as c from documents where text is not null)
+select doc_id, count(*)::int as hits from x join t on contains(c, term) group by 1 having count(*) >= 2""")
 def keyword_relevance(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with at least two of the terms."""
-    hits = textops.hits(F.col("text"), ("semence", "stockage", "engrais", "pluie", "marché"))
-    return docs(spark, d).select("doc_id", hits.alias("hits")).where("hits >= 2")
+    """Documents whose place or text holds at least two of the terms."""
+    hits = textops.hits(F.concat(F.coalesce("source", F.lit("")), F.lit(" "), "text"), TERMS)
+    return docs(spark, d).where("text is not null").select("doc_id", hits.alias("hits")).where("hits >= 2")
 
 
-@C.query("""
-with h as (select doc_id, text, (case when contains(lower(text), 'semis') then 1 else 0 end + case when contains(lower(text), 'récolte') then 1 else 0 end
- + case when contains(lower(text), 'harvest') then 1 else 0 end) as n from documents)
-select doc_id, case when contains(lower(text), 'orage') then 'REJECT' when n > 0 then 'ACCEPT' when length(text) < 100 then 'ACCEPT' else 'REJECT' end as scope,
- case when n > 0 then least(0.5 + 0.1 * n, 0.99) else 0.15 end as confidence from h""")
-def scope_guard(spark: SparkSession, d: str) -> DataFrame:
-    """Scope by ordered rules: forbidden term, then hits, then short texts."""
-    n = textops.hits(F.col("text"), ("semis", "récolte", "harvest"))
-    forbidden = textops.hits(F.col("text"), ("orage",)) > 0
-    scope = F.when(forbidden, "REJECT").when(n > 0, "ACCEPT").when(F.length("text") < 100, "ACCEPT").otherwise("REJECT")
-    return docs(spark, d).select(
-        "doc_id", scope.alias("scope"), F.when(n > 0, F.least(F.lit(0.5) + F.lit(0.1) * n, F.lit(0.99))).otherwise(0.15).alias("confidence"))
+# words of the domain that the scope is judged by; a parameter
+DOMAIN = ("maïs", "mais", "sorgho", "mil", "riz", "coton", "niébé", "semis", "récolte", "champ", "parcelle", "sol", "compost", "engrais", "irrigation", "eau", "pluie", "prix", "marché", "stock")
 
 
 @C.query("""
-select doc_id, trim(regexp_replace(lower(strip_accents(substr(text, 1, 60))), '[^a-z0-9]+', '-', 'g'), '-') as slug,
- regexp_replace(substr(text, 1, 40), '[<>:"/\\\\|?*]', '_', 'g') as file_name from documents where lang = 'fr'""")
-def slugs(spark: SparkSession, d: str) -> DataFrame:
-    """Slugs and safe file names."""
-    t = F.col("text")
-    return docs(spark, d).where("lang = 'fr'").select(
-        "doc_id", textops.slug(F.substring(t, 1, 60)).alias("slug"), textops.safe_name(F.substring(t, 1, 40)).alias("file_name"))
+with x as (select doc_id, lower(trim(text)) as t, regexp_extract_all(lower(trim(text)), '[\\p{L}\\p{N}_]+') as w from documents where text is not null),
+y as (select *, len(list_filter(w, lambda v: list_contains(['maïs', 'mais', 'sorgho', 'mil', 'riz', 'coton', 'niébé', 'semis', 'récolte', 'champ', 'parcelle', 'sol', 'compost', 'engrais', 'irrigation', 'eau', 'pluie', 'prix', 'marché', 'stock'], v))) as n from x)
+select doc_id, case when contains(t, 'orage') then 'REJECT' when len(w) > 0 and n / len(w) >= 0.15 then 'ACCEPT' when t in ('bonjour', 'bonsoir', 'salut', 'hello', 'hi') or len(w) <= 2 then 'ACCEPT' else 'REJECT' end as scope,
+ case when n > 0 then least(0.5 + 0.1 * n, 0.99)::double else 0.15::double end as confidence from y""")
+def scope_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Scope by ordered rules: a forbidden term, 15 % of words of the domain, greetings and texts of two words, else out of scope."""
+    low = F.trim(F.lower("text"))
+    x = docs(spark, d).where("text is not null").select("doc_id", low.alias("t"), F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)"), 1).alias("w"))
+    n = F.size(F.filter("w", lambda v: v.isin(*DOMAIN)))
+    short = F.col("t").isin("bonjour", "bonsoir", "salut", "hello", "hi") | (F.size("w") <= 2)
+    scope = F.when(F.contains("t", F.lit("orage")), "REJECT").when((F.size("w") > 0) & (n / F.greatest(F.size("w"), F.lit(1)) >= 0.15), "ACCEPT").when(short, "ACCEPT").otherwise("REJECT")
+    return x.select("doc_id", scope.alias("scope"), F.when(n > 0, F.least(F.lit(0.5) + F.lit(0.1) * n, F.lit(0.99))).otherwise(0.15).alias("confidence"))
 
 
 @C.query("""
 select doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') as slug,
  substr(regexp_replace(text, '[<>:"/\\\\|?*]', '_', 'g'), 1, 70) as file_name from documents""")
-def slugs_all(spark: SparkSession, d: str) -> DataFrame:
+def slugs(spark: SparkSession, d: str) -> DataFrame:
     """Slugs and safe file names of every text; only the file name is cut, to 70 characters after it is cleaned."""
     t = F.col("text")
     return docs(spark, d).select("doc_id", textops.slug(t).alias("slug"), F.substring(textops.safe_name(t), 1, 70).alias("file_name"))
@@ -210,36 +216,11 @@ def publication_codes(spark: SparkSession, d: str) -> DataFrame:
         F.coalesce(F.nullif("pdf_data.content", F.lit("")), F.nullif("content", F.lit(""))).isNotNull().alias("has_text"))
 
 
-@C.query("""
-with q as (select embedding as qe from embeddings where vec_id = 0)
-select vec_id, round(list_inner_product(list_transform(embedding, lambda x: cast(x as double)), list_transform(qe, lambda x: cast(x as double))), 5) as score
-from embeddings, q where vec_id <> 0 order by score desc, vec_id limit 10""")
-def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Exact inner-product search for one query vector."""
-    e = table(spark, d, "embeddings")
-    query = [float(x) for x in e.where("vec_id = 0").select("embedding").first()[0]]
-    return retrieval.search(e.where("vec_id <> 0"), "embedding", query, 10).select("vec_id", F.round("score", 5).alias("score"))
-
-
-@C.query("""
-with q as (select embedding as qe, label as ql from embeddings where vec_id = 0),
-t as (select vec_id, label, ql, round(list_inner_product(list_transform(embedding, lambda x: cast(x as double)), list_transform(qe, lambda x: cast(x as double))), 5) as score
- from embeddings, q where vec_id <> 0 order by score desc, vec_id limit 20)
-select vec_id, score + case when label = ql then 1 else 0 end as reranked from t order by reranked desc, vec_id limit 5""")
-def vector_topk_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """Search, then a second score over the first results only."""
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select("embedding", "label").first()
-    found = retrieval.search(e.where("vec_id <> 0"), "embedding", [float(x) for x in q.embedding], 20)
-    second = F.round("score", 5) + F.when(F.col("label") == q.label, 1).otherwise(0)
-    return found.select("vec_id", second.alias("reranked")).orderBy(F.desc("reranked"), "vec_id").limit(5)
-
-
 @C.query("""
 with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
 s as (select q.vec_id as query_id, e.vec_id, round(list_inner_product(e.v, q.v), 5) as score from e join e q on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id)
 select * from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10""")
-def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """Exact inner-product search for every query vector, those with an id divisible by 20."""
     e = table(spark, d, "embeddings")
     return retrieval.search_all(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 10).drop("rank")
@@ -252,7 +233,7 @@ s as (select q.vec_id as query_id, e.vec_id, e.label = q.label as same, round(li
 t as (select * from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20),
 u as (select query_id, vec_id, score + case when same then 1 else 0 end as reranked from t)
 select * from u qualify row_number() over (partition by query_id order by reranked desc, vec_id) <= 5""")
-def vector_topk_rerank_all(spark: SparkSession, d: str) -> DataFrame:
+def vector_topk_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Search for every query vector, then a second score over the first results of each."""
     e = table(spark, d, "embeddings")
     found = retrieval.search_all(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 20)
@@ -274,13 +255,14 @@ def ranked_per_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 @C.query("""
-select source, string_agg('[Doc ' || r || '] ' || substr(text, 1, 100), chr(10) order by r) as context from (
+select source, string_agg('[Doc ' || r || '] ' || substr(text, 1, 500), chr(10) order by r) as context, string_agg(doc_id, ',' order by r) as sources from (
  select *, row_number() over (partition by source order by n_chars desc, doc_id) r from documents) where r <= 3 group by 1""")
 def context_assembly(spark: SparkSession, d: str) -> DataFrame:
-    """Numbered excerpts of the three longest documents of each source."""
-    t = top_k(docs(spark, d).select("source", "doc_id", "n_chars", F.substring("text", 1, 100).alias("head")), ["source"], [F.desc("n_chars"), F.asc("doc_id")], 3)
-    parts = F.array_sort(F.collect_list(F.struct("rank", F.format_string("[Doc %d] %s", "rank", "head").alias("t"))))
-    return t.groupBy("source").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("context"))
+    """Numbered excerpts (500 characters, as the assembly asks for) of the three longest documents of each source, and which these are."""
+    t = top_k(docs(spark, d).select("source", "doc_id", "n_chars", F.substring("text", 1, 500).alias("head")), ["source"], [F.desc("n_chars"), F.asc("doc_id")], 3)
+    parts = F.array_sort(F.collect_list(F.struct("rank", "doc_id", F.format_string("[Doc %d] %s", "rank", "head").alias("t"))))
+    joined = lambda f, by: F.array_join(F.transform(parts, f), by)
+    return t.groupBy("source").agg(joined(lambda x: x["t"], "\n").alias("context"), joined(lambda x: x["doc_id"].cast("string"), ",").alias("sources"))
 
 
 @C.query("select lang, count(*) as n, sum(n_chars) as chars, count(distinct source) as sources from documents group by 1")

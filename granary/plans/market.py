@@ -221,16 +221,53 @@ def farms_and_stocks_by_region(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("farms"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("stocks"))
 
 
-UNIT_FACTORS = (("ECONOMY", 1.0), ("STANDARD", 100.0), ("SMALL", 2.5), ("MEDIUM", 25.0), ("LARGE", 50.0))
+# fixed values: kilograms of each unit by exact name, and by the first name that is contained
+UNIT_TO_KG = {"sac": 100.0, "sacs": 100.0, "tine": 18.0, "tines": 18.0, "plat": 2.5, "plats": 2.5, "kg": 1.0, "tonne": 1000.0, "tonnes": 1000.0}
+UNIT_PARTS = (("sac", 100.0), ("sac_100", 100.0), ("sac_50", 50.0), ("tin", 15.0), ("panier", 25.0), ("tonnes", 1000.0), ("kg", 1.0))
 
 
 @C.query("""
-select p_partkey, case when p_type like '%ECONOMY%' then 1.0 when p_type like '%STANDARD%' then 100.0 when p_type like '%SMALL%' then 2.5
- when p_type like '%MEDIUM%' then 25.0 when p_type like '%LARGE%' then 50.0 else 1.0 end * p_size as kg from part""")
+with x as (select distinct unit, lower(trim(unit)) as u, replace(lower(coalesce(unit, 'none')), 's', '') as w from stocks)
+select unit, case u when 'sac' then 100.0 when 'sacs' then 100.0 when 'tine' then 18.0 when 'tines' then 18.0 when 'plat' then 2.5 when 'plats' then 2.5 when 'tonne' then 1000.0 when 'tonnes' then 1000.0 else 1.0 end::double as exact_kg,
+ case when contains(w, 'sac') then 100.0 when contains(w, 'tin') then 15.0 when contains(w, 'panier') then 25.0 when contains(w, 'tonnes') then 1000.0 when contains(w, 'kg') then 1.0 else 100.0 end::double as contained_kg from x""")
 def unit_to_kg(spark: SparkSession, d: str) -> DataFrame:
-    """First matching entry of a unit table, with a default."""
-    df = table(spark, d, "part")
-    return df.select("p_partkey", (R.first_match(df, F.col("p_type"), list(UNIT_FACTORS), 1.0) * F.col("p_size")).alias("kg"))
+    """Both readings of typed units: by exact name (else 1), and by the first contained name with every s taken out (else 100)."""
+    x = table(spark, d, "stocks").select("unit").distinct()
+    exact = F.coalesce(F.try_element_at(F.create_map(*(v for k, kg in UNIT_TO_KG.items() for v in (F.lit(k), F.lit(kg)))), F.lower(F.trim("unit"))), F.lit(1.0))
+    bare = F.replace(F.lower(F.coalesce("unit", F.lit("none"))), F.lit("s"), F.lit(""))
+    return x.select("unit", exact.alias("exact_kg"), R.first_match(x, bare, list(UNIT_PARTS), 100.0).alias("contained_kg"))
+
+
+@C.query("""
+with o as (select farm_id, item_name, zone_id, case when size_ha > 2 then 'National' else coalesce(zone_id, 'aucune') end as place from stocks join farms using (farm_id) where item_name is not null)
+select place, count(*) as n from o where (place = 'National' or lower(place) = lower('z01')) and contains(lower(item_name), 'ma') group by 1""")
+def regional_or_national(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of a region or of the whole country whose category contains a word, counted by place."""
+    f = table(spark, d, "farms").select("farm_id", F.when(F.col("size_ha") > 2, "National").otherwise(F.coalesce("zone_id", F.lit("aucune"))).alias("place"))
+    here = (F.col("place") == "National") | (F.lower("place") == F.lower(F.lit("z01")))
+    x = table(spark, d, "stocks").where("item_name is not null").join(f.where(here), "farm_id")
+    return x.where(F.contains(F.lower("item_name"), F.lit("ma"))).groupBy("place").agg(F.count("*").alias("n"))
+
+
+@C.query("""
+with s as (select distinct stock_id, item_name, quantity, unit, farm_id, replace(lower(coalesce(unit, 'none')), 's', '') as w from stocks),
+v as (select *, list_filter([case when coalesce(item_name, '') = '' then 'produit' end, case when quantity is null then 'quantité' end, case when farm_id is null then 'lieu' end], lambda x: x is not null) as missing,
+ case when quantity < 0 or isnan(quantity) then 'Quantité invalide' end as error,
+ quantity * case when contains(w, 'sac') then 100.0::double when contains(w, 'tin') then 15.0 when contains(w, 'panier') then 25.0 when contains(w, 'tonnes') then 1000.0 when contains(w, 'kg') then 1.0 else 100.0 end as kg from s)
+select stock_id, item_name, unit, array_to_string(missing, ',') as missing, error, case when len(missing) = 0 and error is null then 'WAITING_CONFIRMATION' else 'MISSING_INFO' end as status,
+ case when len(missing) = 0 and error is null then round(kg, 2) end as quantity_kg from v""")
+def registration_validation(spark: SparkSession, d: str) -> DataFrame:
+    """What a registration lacks, what is wrong with it, and its amount in kilograms once it only waits for confirmation."""
+    s = table(spark, d, "stocks").select("stock_id", "item_name", "quantity", "unit", "farm_id").distinct()
+    bare = F.replace(F.lower(F.coalesce("unit", F.lit("none"))), F.lit("s"), F.lit(""))
+    missing = F.array_compact(F.array(
+        F.when(F.coalesce("item_name", F.lit("")) == "", "produit"), F.when(F.col("quantity").isNull(), "quantité"), F.when(F.col("farm_id").isNull(), "lieu")))
+    error = F.when((F.col("quantity") < 0) | F.isnan("quantity"), "Quantité invalide")
+    x = s.withColumns({"m": missing, "error": error, "kg": F.col("quantity") * R.first_match(s, bare, list(UNIT_PARTS), 100.0)})
+    ok = (F.size("m") == 0) & F.col("error").isNull()
+    return x.select(
+        "stock_id", "item_name", "unit", F.array_join("m", ",").alias("missing"), "error", F.when(ok, "WAITING_CONFIRMATION").otherwise("MISSING_INFO").alias("status"),
+        F.when(ok, F.round("kg", 2)).alias("quantity_kg"))
 
 
 @C.query("""
@@ -249,10 +286,10 @@ def product_short_code(spark: SparkSession, d: str) -> DataFrame:
 
 
 @C.query("""
-select p_partkey, unnest([p_name, p_brand, lower(p_brand)]) as alias from part where p_size <= 10""")
+select p_partkey, unnest([p_name, p_brand, lower(p_brand)]) as alias from part""")
 def alias_rows(spark: SparkSession, d: str) -> DataFrame:
     """One row per alias of a product."""
-    return table(spark, d, "part").where("p_size <= 10").select(
+    return table(spark, d, "part").select(
         "p_partkey", F.explode(F.array("p_name", "p_brand", F.lower("p_brand"))).alias("alias"))
 
 

@@ -13,14 +13,14 @@ C = Catalog()
 
 
 @C.query("""
-with recursive e as (select 1000 + n_regionkey as src, n_nationkey as dst from nation union select n_nationkey, 1000 + (n_nationkey + 1) % 5 from nation where n_nationkey < 10),
+with recursive e as (select 1000 + n_regionkey as src, n_nationkey as dst from nation union select n_nationkey, 1000 + (n_nationkey + 1) % 5 from nation),
 w(node, depth) as (select 1000, 0 union select e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 4)
 select node, min(depth) as depth from w group by 1""")
 def link_bfs_depth(spark: SparkSession, d: str) -> DataFrame:
     """Depth of each node reached in a cyclic link graph."""
     n = table(spark, d, "nation")
     edges = n.select((F.lit(1000) + F.col("n_regionkey")).alias("src"), F.col("n_nationkey").alias("dst")).unionByName(
-        n.where("n_nationkey < 10").select(F.col("n_nationkey").alias("src"), (F.lit(1000) + (F.col("n_nationkey") + 1) % 5).alias("dst")))
+        n.select(F.col("n_nationkey").alias("src"), (F.lit(1000) + (F.col("n_nationkey") + 1) % 5).alias("dst")))
     return graph.bfs_depth(edges, spark.createDataFrame([(1000,)], "node int"), 4)
 
 
@@ -60,13 +60,13 @@ def phone_validation(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query("""
 select o_orderkey, month(o_orderdate) between 6 and 9 as rainy, dayofyear(o_orderdate) as day_of_year, strftime(o_orderdate, '%d/%m') as short_day,
- o_orderdate + interval 3 day as valid_until from orders""")
+ o_orderdate + case o_orderstatus when 'O' then interval 1 day when 'P' then interval 2 day else interval 3 day end as valid_until from orders""")
 def date_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Season, day of the year, short day and validity of dates."""
+    """Season, day of the year, short day and validity of dates, by the kind of hazard."""
     t = F.col("o_orderdate")
     return table(spark, d, "orders").select(
         "o_orderkey", F.month(t).between(6, 9).alias("rainy"), F.dayofyear(t).alias("day_of_year"), F.date_format(t, "dd/MM").alias("short_day"),
-        (t + F.expr("INTERVAL 3 DAY")).alias("valid_until"))
+        (t + F.make_dt_interval(F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "P", 2).otherwise(3))).alias("valid_until"))
 
 
 @C.query("""select source from documents where source is not null union select source from mix_targets""")

@@ -37,9 +37,16 @@ def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
+    _delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM delete the table when it ends; until then lazy readers may need it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def row_bytes(df: DataFrame):
     """Bytes of a row: the lengths of texts, eight for each other value and for each element of an array."""
     from pyspark.sql import functions as F
@@ -50,7 +57,7 @@ def row_bytes(df: DataFrame):
             return F.coalesce(F.octet_length(c), F.lit(0)) + 16
         if kind == "array<string>":
             return F.coalesce(F.aggregate(c, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16), F.lit(0)) + 16
-        return F.greatest(F.size(c), F.lit(0)) * 8 + 16 if kind.startswith("array") else F.lit(8)
+        return F.greatest(F.size(c), F.lit(0)) * 8 * (kind.count(",") + 1) + 16 if kind.startswith("array") else F.lit(8)
 
     return sum((of(*c) for c in df.dtypes), F.lit(16))
 

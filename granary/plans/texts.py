@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions.text import fold
 from granary.operators import profiles as P
@@ -271,9 +273,6 @@ def embed(df: DataFrame, text: str, model, size: int, out: str = "embedding") ->
 
     The model is a hook; none is installed.
     """
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
         some = texts.dropna()

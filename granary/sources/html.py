@@ -18,7 +18,10 @@ from pyspark.sql import types as T
 # fixed values: elements that hold no text of the page, blocks of text, and containers of the main text
 NOISE = {"script", "style", "noscript", "nav", "header", "footer", "aside", "form", "template", "svg"}
 BLOCKS = {"p", "li", "h1", "h2", "h3", "h4", "td", "blockquote", "pre", "dd", "dt", "div", "section", "article", "main"}
-CONTAINERS = ("main", "article")
+CONTAINERS = ("main", "article", ".node--type-report", "#main-content")
+NOISE_CLASSES = {"breadcrumb", "region-sidebar-first"}
+# fixed values: types of linked data that describe an article
+ARTICLES = {"NewsArticle", "Article", "BlogPosting"}
 DATA_FILES = {"csv": "CSV", "xls": "Excel", "xlsx": "Excel", "json": "JSON", "geojson": "GeoJSON", "zip": "ZIP", "pdf": "PDF", "shp": "Shapefile", "xml": "XML"}
 
 
@@ -38,12 +41,13 @@ class _Reader(HTMLParser):
         self.pairs: list[tuple[str, str]] = []
         self._open: list[str] = []
         self._text: list[str] = []
+        self._roles: list[str] = []  # of each open element: a container's name, noise or nothing
         self._tag, self._link, self._key, self._json, self._in_title = "", None, None, False, False
 
     def _flush(self, tag: str) -> None:
         text = re.sub(r"\s+", " ", "".join(self._text)).strip()
         if text:
-            holder = next((c for c in CONTAINERS if c in self._open), None)
+            holder = next((c for c in CONTAINERS if c in self._roles), None)
             self.blocks.append((holder, self._tag or tag, text))
             if self._tag in ("dt", "strong", "label"):
                 self._key = text.rstrip(" :")
@@ -70,6 +74,10 @@ class _Reader(HTMLParser):
             self._tag = tag
         if tag not in ("br", "img", "hr", "input", "link"):
             self._open.append(tag)
+            classes = set(a.get("class", "").split())
+            self._roles.append(
+                "noise" if classes & NOISE_CLASSES else tag if tag in CONTAINERS else "#main-content" if a.get("id") == "main-content"
+                else ".node--type-report" if "node--type-report" in classes else "")
 
     def handle_endtag(self, tag):
         if tag == "a" and self._link:
@@ -82,7 +90,8 @@ class _Reader(HTMLParser):
             self._tag = ""
         if tag in self._open:
             while self._open and self._open.pop() != tag:
-                pass
+                self._roles.pop()
+            self._roles.pop()
 
     def handle_data(self, data):
         if self._in_title:
@@ -90,7 +99,7 @@ class _Reader(HTMLParser):
         elif self._open and self._open[-1] == "script":
             if self._json:
                 self.scripts.append(data)
-        elif not NOISE.intersection(self._open):
+        elif not NOISE.intersection(self._open) and "noise" not in self._roles:
             self._text.append(data)
             if self._link:
                 self._link[1] += data
@@ -116,7 +125,7 @@ def _linked_data(r: _Reader) -> dict:
         except ValueError:
             continue
         for y in x if isinstance(x, list) else [x]:
-            if isinstance(y, dict):
+            if isinstance(y, dict) and y.get("@type") in ARTICLES:
                 return y
     return {}
 
@@ -129,7 +138,7 @@ def _text(x) -> str | None:
     return str(x) if x not in (None, "") else None
 
 
-@F.pandas_udf(_texts("title", "author", "published", "description", "content"))
+@F.pandas_udf(_texts("title", "author", "published", "modified", "description", "content"))
 def article(pages: pd.Series) -> pd.DataFrame:
     """Fields of an article: linked data goes before Open Graph, that before meta tags; paragraphs over 20 characters."""
     out = []
@@ -138,10 +147,10 @@ def article(pages: pd.Series) -> pd.DataFrame:
         ld, m = _linked_data(r), r.meta
         inside = [t for c, tag, t in r.blocks if c and tag == "p" and len(t) > 20] or [t for _, tag, t in r.blocks if tag == "p" and len(t) > 20]
         out.append((
-            _text(ld.get("headline")) or m.get("og:title") or r.title.strip() or None, _text(ld.get("author")) or m.get("author"),
-            _text(ld.get("datePublished")) or m.get("article:published_time") or m.get("date"),
+            _text(ld.get("headline") or ld.get("name")) or m.get("og:title") or r.title.strip() or None, _text(ld.get("author")) or m.get("article:author") or m.get("author"),
+            _text(ld.get("datePublished")) or m.get("og:published_time") or m.get("article:published_time") or m.get("date"), _text(ld.get("dateModified")),
             _text(ld.get("description")) or m.get("og:description") or m.get("description"), "\n".join(inside) or None))
-    return pd.DataFrame(out, columns=["title", "author", "published", "description", "content"])
+    return pd.DataFrame(out, columns=["title", "author", "published", "modified", "description", "content"])
 
 
 @F.pandas_udf(BLOCK_LIST)
@@ -153,10 +162,10 @@ def blocks(pages: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.StringType())
 def report(pages: pd.Series) -> pd.Series:
-    """Text of the first container that holds any, else of the page; null under 200 characters."""
+    """Text of the first container that holds any; null without one and under 200 characters."""
     out = []
     for r in map(read, pages):
-        parts = next((x for c in CONTAINERS if (x := [t for h, _, t in r.blocks if h == c])), [t for _, _, t in r.blocks])
+        parts = next((x for c in CONTAINERS if (x := [t for h, _, t in r.blocks if h == c])), [])
         text = " ".join(parts)
         out.append(text if len(text) >= 200 else None)
     return pd.Series(out, dtype=object)
@@ -197,11 +206,14 @@ def file_format(url: Column) -> Column:
     return F.try_element_at(F.create_map(*names), F.lower(F.regexp_extract(url, r"\.([A-Za-z]+)(?:[?#].*)?$", 1)))
 
 
-def index_link(url: Column, host: str, keywords: tuple[str, ...]) -> Column:
-    """True for links worth following: a document, or a keyword on the same host below the first level."""
-    low = F.lower(url)
-    named = low.rlike("|".join(keywords)) & low.contains(f"//{host}/") & (F.size(F.split(F.regexp_replace(low, r"^[a-z]+://[^/]*/", ""), "/")) > 1)
-    return low.rlike(r"\.(pdf|docx?|xlsx?|csv)([?#]|$)") | named
+def index_link(url: Column, index: str, keywords: tuple[str, ...]) -> Column:
+    """True for links worth following from the page ``index``: a document, or a keyword on the same host below the first level, not the page itself."""
+    low, home = F.lower(url), urlsplit(index)
+    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), "^$", "/")
+    deep = F.size(F.filter(F.split(path, "/"), lambda p: p != "")) > 1
+    host = F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1) == home.netloc
+    named = low.rlike("|".join(map(re.escape, keywords))) & host & (path != (home.path or "/")) & deep
+    return low.rlike(r"\.(pdf|docx?|xlsx?)$") | named
 
 
 def shared_link(url: Column) -> Column:

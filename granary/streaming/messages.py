@@ -62,11 +62,11 @@ def state_machine(
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            at, turns, _ = state.get
+            at, turns, _, _ = state.get
             state.remove()
             yield pd.DataFrame({key: [k[0]], "state": ["TIMED_OUT"], "turns": [turns], "ok": [True]})
             return
-        at, turns, used = state.get if state.exists else (first, 0, 0)
+        at, turns, used, last = state.get if state.exists else (first, 0, 0, 0)
         out = []
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         for move in rows["move"]:
@@ -76,14 +76,15 @@ def state_machine(
                 used += move in limited
             out.append((k[0], at, turns, bool(ok)))
         if legal.get(at):
-            state.update((at, turns, used))
-            state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + timeout_ms)
+            last = max(last, int(rows["ts"].max().timestamp() * 1000))  # late moves don't bring the end forward
+            state.update((at, turns, used, last))
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + timeout_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=[key, "state", "turns", "ok"])
 
     return moves.withWatermark("ts", late).groupBy(key).applyInPandasWithState(
-        step, f"{key} string, state string, turns int, ok boolean", "state string, turns int, used int", "append",
+        step, f"{key} string, state string, turns int, ok boolean", "state string, turns int, used int, last long", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 

@@ -1,5 +1,7 @@
 """Relational blocks, prefix sums, staging, sinks, profiles, graphs."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from granary.operators import graph, profiles, retrieval, textops
 from granary.operators import relational as R
 from granary.operators.prefix import prefix_sum
 from granary.operators.retrieval import sentence_chunks
-from granary.plans import documents, messages
+from granary.plans import documents, flows, messages, texts
 from granary.plans.staging import bounded_broadcast, is_bounded, stage
 from granary.sources import sinks
 from tests.helpers import SF_TINY
@@ -77,11 +79,17 @@ def test_sinks(spark, tmp_path):
     schema = "k string, t int, v string"
     sinks.write_upsert(spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "b")], schema), path, ["k"], ["t"])
     sinks.write_upsert(spark.createDataFrame([("a", 3, None), ("c", 1, "c")], schema), path, ["k"], ["t"])
-    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("a", 3, "y"), ("b", 1, "b"), ("c", 1, "c")}
+    assert {tuple(r) for r in sinks.current(spark, path).collect()} == {("a", 3, "y"), ("b", 1, "b"), ("c", 1, "c")}
     log = str(tmp_path / "log")
     for _ in range(2):
         sinks.append_new(spark.createDataFrame([("h1", 1), ("h1", 2), ("h2", 3)], "h string, n int"), log, "h")
-    assert {tuple(r) for r in spark.read.parquet(log).collect()} == {("h1", 1), ("h2", 3)}
+    assert {tuple(r) for r in sinks.current(spark, log).collect()} == {("h1", 1), ("h2", 3)}
+    # a version that didn't commit isn't read; older ones than the one before are gone
+    spark.range(3).write.parquet(f"{path}/v00000009")
+    os.remove(f"{path}/v00000009/_SUCCESS")
+    assert sinks.versions(spark, path) == [1, 2] and sinks.current(spark, path).columns == ["k", "t", "v"]
+    sinks.write_upsert(spark.createDataFrame([("d", 1, "d")], schema), path, ["k"], ["t"])
+    assert sinks.versions(spark, path) == [2, 3] and sinks.current(spark, path).count() == 4
     sinks.write_csv(spark.createDataFrame([(1, "a\nb" + "c" * 600)], "i int, text string"), str(tmp_path / "csv"), "text")
     row = spark.read.option("header", True).csv(str(tmp_path / "csv")).first()
     assert row.text.startswith("a bccc") and len(row.text) == 500
@@ -114,11 +122,11 @@ def test_correct_words(spark):
 
 def test_text_operations(spark):
     t = F.col("t")
-    r = spark.createDataFrame([("**Bonjour** le <b>monde</b>\n" + "x" * 400,)], "t string").select(
+    r = spark.createDataFrame([("Bonjour, **le** monde\n\nPluie d'attention " + "x" * 400,)], "t string").select(
         textops.compress_message(t).alias("c"), textops.clean_control(F.lit("a\x01b\nc")).alias("k"), textops.segments(F.lit("abcde"), 2).alias("s"),
         textops.is_phone(F.lit("+226 70-12-34-56")).alias("ok"), textops.slug(F.lit(" Été & Maïs ! ")).alias("slug"),
     ).first()
-    assert r.c.startswith("le monde x") and len(r.c) == 320 and r.c.endswith("...")
+    assert r.c.startswith("le monde 🌧️ d'⚠️ x") and len(r.c) == 320 and r.c.endswith("...")
     assert r.k == "ab\nc" and r.s == ["ab", "cd", "e"] and r.ok and r.slug == "ete-mais"
 
 
@@ -154,16 +162,40 @@ def test_texts_are_taken_whole(spark, tmp_path):
     rows = [(1, long, "fr"), (2, "  Le Maïs\u00a0ﬁn ½ \n", None), (3, "", "xx"), (4, None, "fr"), (5, "-" * 90 + "A?b", "de")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     q = lambda f: f(spark, str(tmp_path)).collect()
-    assert {r.doc_id: r.key for r in q(documents.accent_normalise_all)} == {
+    assert {r.doc_id: r.key for r in q(documents.accent_normalise)} == {
         1: ("ete a po: " * 200).strip(), 2: "le mais fin 1⁄2", 3: "", 4: "", 5: "-" * 90 + "a?b"}
-    segments = q(documents.sms_segments_all)
+    segments = q(documents.sms_segments)
     assert {r.doc_id for r in segments} == {1, 2, 5} and sorted(len(r.segment) for r in segments if r.doc_id == 1) == [80] + [160] * 12
-    got = {r.doc_id: (r.slug, r.file_name) for r in q(documents.slugs_all)}
+    got = {r.doc_id: (r.slug, r.file_name) for r in q(documents.slugs)}
     assert got[1] == ("-".join(["ete-a-po"] * 200), ("Été à Pô_ " * 7)) and got[5] == ("a-b", "-" * 70)
     assert got[3] == ("", "") and got[4] == (None, None) and set(got) == {1, 2, 3, 4, 5}
 
 
 def test_every_event_enters_the_upsert(spark):
     keys = messages.events(spark, SF_TINY).select("user_id", "event_type").distinct()
-    got = messages.upsert_column_subset_all(spark, SF_TINY).select("user_id", "event_type")
+    got = messages.upsert_column_subset(spark, SF_TINY).select("user_id", "event_type")
     assert got.count() == keys.count() > 0 and got.exceptAll(keys).count() == 0
+
+
+def test_plots_and_profiles(spark):
+    empty = spark.sql("select cast(null as array<struct<crop:string,status:string,area_ha:double,soil_type:string,planting_date:string>>) as plots")
+    new = F.struct(F.lit("Mil").alias("crop"), F.lit("ACTIVE").alias("status"), F.lit(None).cast("double").alias("area_ha"), F.lit(None).cast("string").alias("soil_type"), F.lit("2024-06-01").alias("planting_date"))
+    one = empty.select(profiles.add_plot(F.col("plots"), new).alias("plots"))
+    two = one.select(profiles.add_plot(F.col("plots"), F.struct(F.lit("MIL").alias("crop"), F.lit("ACTIVE").alias("status"), F.lit(2.0).alias("area_ha"), F.lit(None).cast("string").alias("soil_type"), F.lit(None).cast("string").alias("planting_date"))).alias("plots"))
+    assert [tuple(p) for p in two.first().plots] == [("Mil", "ACTIVE", 2.0, None, "2024-06-01")]
+    nothing = F.lit(None)
+    text = profiles.profile_text(F.lit(""), nothing.cast("string"), nothing.cast("array<struct<crop:string,status:string,area_ha:double,soil_type:string,planting_date:string>>"),
+                                 nothing.cast("array<struct<type:string,count:int>>"), nothing.cast("array<string>"), nothing.cast("double"), nothing.cast("string"), nothing.cast("int"))
+    assert spark.range(1).select(text).first()[0] == ""
+
+
+def test_urgent_payloads(spark):
+    rows = [('{"a": {"b": {"c": "Une ÉPIDÉMIE ici"}}}', True), ('{"a": ["urgence"]}', False), ('{"photo": "x.jpg"}', True), ('{"photo": ""}', False), ('{"urgent": "non"}', False), ("[1]", False), ("{", False), (None, False)]
+    df = spark.createDataFrame(rows, "p string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", flows.urgent_payload(F.col("p")).alias("got")).collect())
+
+
+def test_embedding_hook(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "i int, t string")
+    out = texts.embed(df, "t", lambda batch: [[float(len(x)), 1.0, 2.0] for x in batch], 2)
+    assert {r.i: r.embedding for r in out.collect()} == {1: [3.0, 1.0], 2: None, 3: [0.0, 1.0]}

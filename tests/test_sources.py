@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granary.sources import files, html, polling
 
 PAGE = """<html><head><title> Prix du mil </title><meta property="og:description" content="Une note">
-<script type="application/ld+json">{"@type": "Article", "headline": "Le mil", "author": [{"name": "A. B."}], "datePublished": "2024-01-02"}</script></head>
+<script type="application/ld+json">{"@type": "Article", "headline": "Le mil", "author": [{"name": "A. B."}], "datePublished": "2024-01-02", "dateModified": "2024-02-03"}</script></head>
 <body><nav><a href="/menu">Menu</a></nav><article><h1>Le mil</h1><p>Le prix du mil monte dans la plaine.</p><p>court</p>
 <p>Une autre phrase assez longue <a href="doc/a.pdf#p2">note</a>.</p></article><a href="doc/a.pdf">encore</a><a href="mailto:x@y">m</a>
 <a href="https://other.example/d.csv">data</a><dl><dt>Producteur :</dt><dd>INS</dd></dl><footer>pied de page</footer></body></html>"""
@@ -25,6 +25,7 @@ def test_html(spark):
     rows = df.select(html.article("h").alias("a"), html.blocks("h").alias("b"), html.links("h", "u").alias("l"), html.pairs("h").alias("p"), html.report("h").alias("r")).collect()
     a = rows[0].a
     assert (a.title, a.author, a.published, a.description) == ("Le mil", "A. B.", "2024-01-02", "Une note")
+    assert a.modified == "2024-02-03"
     assert a.content.startswith("Le prix du mil monte") and "court" not in a.content and "pied" not in a.content
     assert [(x.url, x.kind, x.same_host) for x in rows[0].l] == [
         ("https://site.example/menu", "page", True), ("https://site.example/x/doc/a.pdf", "pdf", True), ("https://other.example/d.csv", "data", False)]
@@ -32,14 +33,23 @@ def test_html(spark):
     assert rows[1].a.title is None and rows[1].l == [] and rows[2].b.title is None
 
 
+def test_reports(spark):
+    text = "Une phrase du rapport qui dit quelque chose. " * 6
+    rows = [(f"<div id='main-content'><p>{text}</p><div class='breadcrumb'>Accueil</div></div><p>dehors</p>", True), (f"<section class='x node--type-report'><p>{text}</p></section>", True),
+            (f"<div><p>{text}</p></div>", False), ("<main><p>court</p></main>", False)]
+    got = spark.createDataFrame(rows, "h string, ok boolean").select("ok", html.report("h").alias("r")).collect()
+    for r in got:
+        assert (r.r == text.strip()) if r.ok else r.r is None
+
+
 def test_link_columns(spark):
     u = F.col("u")
     df = spark.createDataFrame([
         ("https://docs.example/spreadsheets/d/abc_1/edit",), ("https://docs.example/forms/d/e/F-9/view",), ("https://h.example/docs/bulletin/n1",),
-        ("https://h.example/bulletin",), ("https://x.example/a.XLSX?dl=1",)], "u string")
-    got = df.select(html.shared_link(u).alias("s"), html.index_link(u, "h.example", ("bulletin",)).alias("i"), html.file_format(u).alias("f")).collect()
+        ("https://h.example/bulletin",), ("https://x.example/a.XLSX?dl=1",), ("https://x.example/A.PDF",), ("https://h.example/docs/index",)], "u string")
+    got = df.select(html.shared_link(u).alias("s"), html.index_link(u, "https://h.example/docs/index", ("bulletin", "index")).alias("i"), html.file_format(u).alias("f")).collect()
     assert (got[0].s.kind, got[0].s.id) == ("sheet", "abc_1") and (got[1].s.kind, got[1].s.id) == ("form", "F-9")
-    assert [r.i for r in got] == [False, False, True, False, True] and got[4].f == "Excel"
+    assert [r.i for r in got] == [False, False, True, False, False, True, False] and got[4].f == "Excel"
     assert spark.sql("select '10.4060/CD3185EN' as d").select(html.publication_code(F.col("d"))).first()[0] == "cd3185en"
 
 

@@ -54,3 +54,28 @@ def test_state_machine(spark, tmp_path):
     assert [x for x in got if x[0] == "h1"] == [("h1", "COUNTER", 1, True), ("h1", "COUNTER", 2, True), ("h1", "ACCEPTED", 3, True)]
     assert [x[3] for x in got if x[0] == "h2"] == [True, True, False]
     assert [x[1:] for x in got if x[0] == "h3"] == [("REJECTED", 1, True), ("REJECTED", 1, False)]
+
+
+def test_silent_keys_time_out(spark, tmp_path):
+    import datetime as dt
+
+    schema = "k string, move string, ts timestamp"
+    t = spark.sql("select timestamp'2024-01-01 00:00:00' as t").first().t
+    path = str(tmp_path / "in")
+    for i, (k, hours) in enumerate((("a", 0), ("b", 5), ("c", 6))):
+        spark.createDataFrame([(k, "COUNTER", t + dt.timedelta(hours=hours)), (k, "COUNTER", t + dt.timedelta(hours=hours - 1))], schema).coalesce(1).write.mode("append").parquet(path)
+    legal = {"PROPOSED": ("COUNTER",), "COUNTER": ("COUNTER",)}
+    s = S.stream(spark, path, schema, "ts", files_per_batch=1)
+    S.run_once(S.state_machine(s, "k", legal, "PROPOSED", {"COUNTER": 2}), "timeouts", checkpoint=str(tmp_path / "cp"))
+    got = [(r.k, r.state, r.turns) for r in spark.table("timeouts").collect()]
+    assert ("a", "TIMED_OUT", 2) in got and not [x for x in got if x[0] == "c" and x[1] == "TIMED_OUT"]
+
+
+def test_live_and_batches(spark, tmp_path):
+    rows = events(spark)
+    s = source(spark, tmp_path, rows)
+    S.run_once(S.live(s, "ts", "2024-01-01 05:00:00"), "alive")
+    assert spark.table("alive").count() == sum(1 for r in rows if r[1] > rows[-1][1] - (rows[6][1] - rows[0][1]))
+    out = str(tmp_path / "out")
+    S.each_batch(s, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/{i}"), str(tmp_path / "cp2")).awaitTermination()
+    assert spark.read.option("recursiveFileLookup", True).parquet(out).count() == len(rows)
