@@ -39,3 +39,20 @@ def prefix_sum(
         .withColumn(out, F.col("_offset") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
         .drop("_bucket", "_value", "_offset", "_o_bucket", *(f"_o_{g}" for g in group))
     )
+
+
+def running_sum(df: DataFrame, group: str, slot: Column, order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` up to and with this row in its group, by ``order``.
+
+    ``slot`` must not fall along the order (an hour of the time, say). A window
+    runs over each slot of a group, and one over the groups' slot totals, so that
+    no task holds all rows of a hot group. Null groups are a group.
+    """
+    x = df.withColumn("_slot", slot)
+    totals = x.groupBy(F.col(group).alias("_group"), F.col("_slot").alias("_at")).agg(F.sum(value).alias("_total"))
+    before = W.partitionBy("_group").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_group", "_at", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    inside = W.partitionBy(group, "_slot").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumn("_inside", F.sum(value).over(inside))
+    x = x.join(totals, F.col(group).eqNullSafe(F.col("_group")) & F.col("_slot").eqNullSafe(F.col("_at")))
+    return x.withColumn(out, F.col("_offset") + F.coalesce("_inside", F.lit(0))).drop("_slot", "_group", "_at", "_offset", "_inside")

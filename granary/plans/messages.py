@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.operators import relational as R
+from granary.operators.prefix import running_sum
 from granary.plans.catalog import Catalog
 from granary.sources.tables import table
 
@@ -171,10 +172,14 @@ select event_id, count(*) over (partition by user_id order by ts range between i
  count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) as in_hour from events""")
 def rate_limit_sliding(spark: SparkSession, d: str) -> DataFrame:
     """Calls in a sliding window before each call."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = lambda sec: W.partitionBy("user_id").orderBy(at).rangeBetween(-sec * 1_000_000, 0)
-    return events(spark, d).select(
-        "event_id", (F.count("*").over(w(59)) > 1).alias("limited"), F.count("*").over(w(3600)).alias("in_hour"))
+    hour = 3600 * 1_000_000
+    e = events(spark, d).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    # an hour of a user is a group; the hour before comes along, so that no group holds all calls of a busy user
+    both = F.array(F.struct(F.floor(F.col("at") / hour).alias("slot"), F.lit(True).alias("own")), F.struct((F.floor(F.col("at") / hour) + 1).alias("slot"), F.lit(False).alias("own")))
+    e = e.select("*", F.inline(both))
+    w = lambda sec: W.partitionBy("user_id", "slot").orderBy("at").rangeBetween(-sec * 1_000_000, 0)
+    e = e.select("event_id", "own", (F.count("*").over(w(59)) > 1).alias("limited"), F.count("*").over(w(3600)).alias("in_hour"))
+    return e.where("own").drop("own")
 
 
 @C.query("""
@@ -182,8 +187,8 @@ with a as (select *, sum(case when event_type <> 'error' then 1 else 0 end) over
 select user_id, run, count(*) as failures, min(event_id) as first_event, count(*) >= 5 as open from a where event_type = 'error' group by 1, 2""")
 def circuit_breaker_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of consecutive failures; five open the circuit (gaps and islands)."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    a = events(spark, d).withColumn("run", F.sum(F.when(F.col("event_type") != "error", 1).otherwise(0)).over(w))
+    fine = F.when(F.col("event_type") != "error", 1).otherwise(0)
+    a = running_sum(events(spark, d).withColumn("fine", fine), "user_id", F.date_trunc("hour", "ts"), ["ts", "event_id"], "fine", "run")
     return a.where("event_type = 'error'").groupBy("user_id", "run").agg(
         F.count("*").alias("failures"), F.min("event_id").alias("first_event"), (F.count("*") >= 5).alias("open"))
 

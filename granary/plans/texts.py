@@ -275,8 +275,8 @@ def embed(df: DataFrame, text: str, model, size: int, out: str = "embedding") ->
     """
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
-        some = texts.dropna()
-        vectors = pd.Series([list(map(float, v))[:size] for v in model(list(some))] if len(some) else [], index=some.index, dtype=object)
-        return vectors.reindex(texts.index)
+        some = [t for t in texts if t is not None]
+        vectors = iter(model(some) if some else [])
+        return pd.Series([None if t is None else [float(x) for x in next(vectors)][:size] for t in texts], dtype=object)
 
     return df.withColumn(out, run(F.col(text)))

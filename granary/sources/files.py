@@ -27,7 +27,11 @@ def weather(spark: SparkSession, path: str) -> DataFrame:
 
     Arrays of unequal length, and missing ones, are padded with nulls.
     """
-    raw = spark.read.schema(WEATHER).option("multiLine", True).json(path)
+    return weather_rows(spark.read.schema(WEATHER).option("multiLine", True).json(path))
+
+
+def weather_rows(raw: DataFrame) -> DataFrame:
+    """The rows of weather() of ``raw`` with the schema WEATHER."""
     names = {
         "time": "time", "temperature_2m_max": "t_max", "temperature_2m_min": "t_min", "precipitation_sum": "rain", "et0_fao_evapotranspiration": "et0",
     }
@@ -41,7 +45,11 @@ def weather(spark: SparkSession, path: str) -> DataFrame:
 
 def soil(spark: SparkSession, path: str) -> DataFrame:
     """(lat, lon, property, depth, mean, uncertainty) of property and depth maps."""
-    raw = spark.read.schema(SOIL).option("multiLine", True).json(path)
+    return soil_rows(spark.read.schema(SOIL).option("multiLine", True).json(path))
+
+
+def soil_rows(raw: DataFrame) -> DataFrame:
+    """The rows of soil() of ``raw`` with the schema SOIL."""
     a = raw.select("metadata.lat", "metadata.lon", F.explode("layers").alias("property", "depths"))
     b = a.select("lat", "lon", "property", F.explode("depths").alias("depth", "v"))
     return b.select("lat", "lon", "property", "depth", "v.mean", "v.uncertainty")
@@ -49,7 +57,11 @@ def soil(spark: SparkSession, path: str) -> DataFrame:
 
 def charts(spark: SparkSession, path: str) -> DataFrame:
     """(city, title, series, at, value) of chart files; series without data give one row of nulls."""
-    raw = spark.read.schema(CHART).option("multiLine", True).json(path)
+    return chart_rows(spark.read.schema(CHART).option("multiLine", True).json(path))
+
+
+def chart_rows(raw: DataFrame) -> DataFrame:
+    """The rows of charts() of ``raw`` with the schema CHART."""
     a = raw.select(F.explode_outer("results.metadata").alias("m"))
     b = a.select(F.col("m.city").alias("city"), F.explode_outer("m.raw_data").alias("c"))
     c = b.select("city", F.col("c.title").alias("title"), F.explode_outer("c.series").alias("s"))
@@ -94,12 +106,16 @@ def path_class(path: Column) -> Column:
 def contacts(spark: SparkSession, path: str) -> DataFrame:
     """(name, phone) of contact cards; of cards with one phone the first in its file holds."""
     cards = spark.read.option("lineSep", "END:VCARD").text(path)
+    return card_rows(cards.select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos")).alias("pos")))
+
+
+def card_rows(cards: DataFrame) -> DataFrame:
+    """The rows of contacts() of ``cards(value, pos)``."""
     x = cards.select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"),
-        F.trim(F.regexp_extract("value", r"(?m)^FN[^:]*:(.*)$", 1)).alias("name"),
+        "pos", F.trim(F.regexp_extract("value", r"(?m)^FN[^:]*:(.*)$", 1)).alias("name"),
         F.regexp_replace(F.regexp_extract("value", r"(?m)^TEL[^:]*:(.*)$", 1), r"[^\d+]", "").alias("phone"))
     x = x.where("phone <> ''")
-    return x.groupBy("phone").agg(F.min_by("name", F.struct("file", "pos")).alias("name")).select("name", "phone")
+    return x.groupBy("phone").agg(F.min_by("name", "pos").alias("name")).select("name", "phone")
 
 
 def jdbc(spark: SparkSession, url: str, name: str, column: str, lower: int, upper: int, parts: int, **options: str) -> DataFrame:
