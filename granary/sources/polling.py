@@ -29,25 +29,27 @@ class PollReader(DataSourceReader):
     def read(self, partition: Region) -> Iterator[tuple]:
         module, _, name = self.options["fetch"].partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        metric = self.options.get("metric", "precipitation_sum")
+        metrics = [m for m in self.options.get("metrics", "precipitation_sum").split(",") if m]
         try:
             got = fetch(partition.region, self.options.get("start"), self.options.get("end"))
         except Exception as e:  # one region's failure is a row of its own, the others go on
-            yield partition.region, None, None, f"{type(e).__name__}: {e}"
+            yield partition.region, None, None, None, f"{type(e).__name__}: {e}"
             return
-        for day, value in zip(got.get("time", ()), got.get(metric, ())):
-            yield partition.region, day, None if value is None else float(value), None
+        for metric in got if metrics == ["*"] else metrics:
+            if metric != "time":
+                for day, value in zip(got.get("time", ()), got.get(metric, ())):
+                    yield partition.region, day, metric, None if value is None else str(value), None
 
 
 class PollSource(DataSource):
-    """Format ``poll``: options regions (comma separated), fetch, start, end, metric."""
+    """Format ``poll``: options regions and metrics (comma separated; ``*`` for all), fetch, start, end. Values are texts, as sunrise isn't a number."""
 
     @classmethod
     def name(cls) -> str:
         return "poll"
 
     def schema(self) -> str:
-        return "region string, day string, value double, error string"
+        return "region string, day string, metric string, value string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return PollReader(self.options)

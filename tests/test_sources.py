@@ -3,9 +3,12 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from granary.plans import pages, registry
 from granary.sources import files, html, polling
+from tests.helpers import SF_TINY
 
 PAGE = """<html><head><title> Prix du mil </title><meta property="og:description" content="Une note">
 <script type="application/ld+json">{"@type": "Article", "headline": "Le mil", "author": [{"name": "A. B."}], "datePublished": "2024-01-02", "dateModified": "2024-02-03"}</script></head>
@@ -17,7 +20,7 @@ PAGE = """<html><head><title> Prix du mil </title><meta property="og:description
 def fetch(region, start, end):
     if region == "bad":
         raise RuntimeError("down")
-    return {"time": ["2024-01-01", "2024-01-02"], "precipitation_sum": [1.5, None]}
+    return {"time": ["2024-01-01", "2024-01-02"], "precipitation_sum": [1.5, None], "sunrise": ["05:58", "05:59"]}
 
 
 def test_html(spark):
@@ -81,5 +84,27 @@ def test_folders_and_cards(spark, tmp_path):
 def test_polling_isolates_failures(spark):
     polling.register(spark)
     df = spark.read.format("poll").option("regions", "n,bad,s").option("fetch", "tests.test_sources:fetch").load()
-    got = {(r.region, r.day, r.value, bool(r.error)) for r in df.collect()}
-    assert got == {("n", "2024-01-01", 1.5, False), ("n", "2024-01-02", None, False), ("s", "2024-01-01", 1.5, False), ("s", "2024-01-02", None, False), ("bad", None, None, True)}
+    got = {(r.region, r.day, r.metric, r.value, bool(r.error)) for r in df.collect()}
+    rain = "precipitation_sum"
+    assert got == {("n", "2024-01-01", rain, "1.5", False), ("n", "2024-01-02", rain, None, False), ("s", "2024-01-01", rain, "1.5", False), ("s", "2024-01-02", rain, None, False),
+                   ("bad", None, None, None, True)}
+    all_ = spark.read.format("poll").option("regions", "n").option("fetch", "tests.test_sources:fetch").option("metrics", "*").load()
+    assert {(r.metric, r.value) for r in all_.collect()} == {(rain, "1.5"), (rain, None), ("sunrise", "05:58"), ("sunrise", "05:59")}
+
+
+def test_catalogue(spark):
+    names = {x["name"] for x in registry.C.describe()}
+    assert "routing_fallback" in names and all(x["description"] for x in registry.C.describe())
+    with pytest.raises(KeyError):
+        registry.C.call(spark, SF_TINY, "nothing")
+    with pytest.raises(TypeError):
+        registry.C.call(spark, SF_TINY, "urls_absolute", limit=3)
+    views = registry.C.expose(spark, SF_TINY)
+    assert spark.sql("select count(*) as n from q_urls_absolute where url = ''").first().n > 0 and len(views) == len(names)
+
+
+def test_resources(spark):
+    assert pages.uri_parameters("db://a/{x}/b/{y}", "db://a/1/b/2") == {"x": "1", "y": "2"} and pages.uri_parameters("db://a/{x}", "db://b/1") is None
+    assert pages.read_resource(spark, SF_TINY, "db://regions").count() > 0
+    with pytest.raises(ValueError):
+        pages.read_resource(spark, SF_TINY, "db://none")

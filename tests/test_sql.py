@@ -7,12 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from granary.plans import agro, cleaning, documents, flows, market, messages, misc, pages, quality, texts
+from granary.plans import agro, cleaning, documents, flows, market, messages, misc, pages, quality, registry, texts
 from granary.sources.tables import TABLES
 from tests.helpers import SF_TINY
 
 PLANS = {}
-for c in (market.C, messages.C, documents.C, agro.C, quality.C, misc.C, flows.C, texts.C, pages.C):
+for c in (market.C, messages.C, documents.C, agro.C, quality.C, misc.C, flows.C, texts.C, pages.C, registry.C):
     PLANS |= {k: (c.queries[k], q) for k, q in c.sql.items()}
 PLANS |= {k: (cleaning.QUERIES[k], q) for k, q in cleaning.SQL.items()}
 
