@@ -11,7 +11,7 @@ from granary.functions.text import fold
 from granary.operators import profiles as P
 from granary.operators import textops as X
 from granary.operators.relational import top_k
-from granary.operators.retrieval import inner_product
+from granary.operators.retrieval import search_all, search_lists
 from granary.plans.catalog import Catalog
 from granary.sources.tables import table
 
@@ -259,8 +259,6 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, vec_id, rank from r where rank <= case level when 'debutant' then 3 when 'intermediaire' then 5 else 8 end""")
 def search_by_level(spark: SparkSession, d: str) -> DataFrame:
     """Nearest vectors of every query vector (ids divisible by 20) against all, as many as its level keeps after reranking."""
-    from granary.operators.retrieval import search_all
-
     e = table(spark, d, "embeddings")
     found = search_all(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 9).where("query_id <> vec_id")
     level = F.element_at(F.array(*map(F.lit, LEVELS)), (F.floor(F.col("query_id") / 20) % 3 + 1).cast("int"))
@@ -268,6 +266,13 @@ def search_by_level(spark: SparkSession, d: str) -> DataFrame:
     return top_k(x.drop("rank"), ["query_id"], [F.desc("score"), F.col("vec_id")], 8).where(F.col("rank") <= F.col("keep")).select("query_id", "vec_id", "rank")
 
 
+@C.query()
+def vector_ann(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate search for every query vector (ids divisible by 20) over lists of near vectors; every row is indexed."""
+    e = table(spark, d, "embeddings")
+    return search_lists(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 10)
+
+
 def embed(df: DataFrame, text: str, model, size: int, out: str = "embedding") -> DataFrame:
     """``df`` with a vector of each text by ``model(list of texts) -> array of vectors``, called once for each Arrow batch; null texts have none.
 

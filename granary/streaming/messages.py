@@ -88,6 +88,32 @@ def state_machine(
         GroupStateTimeout.EventTimeTimeout)
 
 
+def context_cache(requests: DataFrame, key: str, ttl_ms: int = 300_000, late: str = "10 minutes") -> DataFrame:
+    """(key, id, hit) of ``requests(key, id, urgent, ts)``: a hit if the key's context was built within the time to live.
+
+    A miss builds it. Urgent requests go past the cache and build it anew. State goes when its time to live is over.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        built = state.get[0] if state.exists else None
+        out = []
+        for row in pd.concat(list(batches)).sort_values(["ts", "id"], kind="stable").itertuples():
+            at = int(row.ts.timestamp() * 1000)
+            hit = built is not None and not row.urgent and 0 <= at - built <= ttl_ms
+            if not hit:
+                built = at
+            out.append((k[0], row.id, hit))
+        state.update((built,))
+        state.setTimeoutTimestamp(max(built + ttl_ms, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=[key, "id", "hit"])
+
+    return requests.withWatermark("ts", late).groupBy(key).applyInPandasWithState(
+        step, f"{key} string, id long, hit boolean", "built long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_once(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> None:
     """Process all that is there into a memory table, for tests and backfills."""
     w = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)

@@ -14,7 +14,7 @@ from granary.operators.retrieval import sentence_chunks
 from granary.plans import documents, flows, messages, texts
 from granary.plans.staging import bounded_broadcast, is_bounded, stage
 from granary.sources import sinks
-from tests.helpers import SF_TINY
+from tests.helpers import SF_SMALL, SF_TINY
 
 
 def test_latest_by_key_takes_ties_by_whole_row(spark):
@@ -199,3 +199,16 @@ def test_embedding_hook(spark):
     df = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "i int, t string")
     out = texts.embed(df, "t", lambda batch: [[float(len(x)), 1.0, 2.0] for x in batch], 2)
     assert {r.i: r.embedding for r in out.collect()} == {1: [3.0, 1.0], 2: None, 3: [0.0, 1.0]}
+
+
+def test_approximate_search_finds_nine_in_ten(spark):
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    q = e.where("vec_id % 20 = 0")
+    want = {(r.query_id, r.vec_id) for r in retrieval.search_all(q, e, "vec_id", "embedding", 10).collect()}
+    got = {(r.query_id, r.vec_id) for r in retrieval.search_lists(q, e, "vec_id", "embedding", 10).collect()}
+    print("recall", len(want & got) / len(want))
+    assert len(want & got) >= 0.9 * len(want) and len(got) == len(want)
+    c = retrieval.centroids(e, "vec_id", "embedding")
+    assert sum(len(r.ids) for r in retrieval.build_lists(e, "vec_id", "embedding", c).collect()) == e.count()  # every row is indexed
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)], "vec_id long, embedding array<float>")
+    assert retrieval.search_lists(same.limit(2), same, "vec_id", "embedding", 3).count() == 6 and retrieval.search_lists(same, same.limit(0), "vec_id", "embedding", 3).count() == 0

@@ -79,3 +79,14 @@ def test_live_and_batches(spark, tmp_path):
     out = str(tmp_path / "out")
     S.each_batch(s, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/{i}"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.option("recursiveFileLookup", True).parquet(out).count() == len(rows)
+
+
+def test_context_cache(spark, tmp_path):
+    import datetime as dt
+
+    t = spark.sql("select timestamp'2024-01-01 00:00:00' as t").first().t
+    at = lambda s: t + dt.timedelta(seconds=s)
+    rows = [("a", 1, False, at(0)), ("a", 2, False, at(200)), ("a", 3, True, at(250)), ("a", 4, False, at(540)), ("a", 5, False, at(900)), ("b", 6, False, at(10))]
+    s = source(spark, tmp_path, rows, "k string, id long, urgent boolean, ts timestamp")
+    S.run_once(S.context_cache(s, "k"), "cache", checkpoint=str(tmp_path / "cp"))
+    assert {r.id: r.hit for r in spark.table("cache").collect()} == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False}
