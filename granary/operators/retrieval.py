@@ -32,20 +32,35 @@ def fixed_chunks(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame
     return out.select(*keep, "chunk_no", F.substring(F.col(text), start, F.lit(size)).alias("chunk"))
 
 
-def sentence_chunks(df: DataFrame, text: str, size: int) -> DataFrame:
-    """``df`` exploded to chunks of whole sentences, packed greedily in order; a fold inside the row, no shuffle."""
+def sentence_chunks(df: DataFrame, text: str, size: int, overlap: int = 0) -> DataFrame:
+    """``df`` exploded to chunks of whole sentences, packed greedily in order; a fold inside the row, no shuffle.
+
+    A chunk begins with the last sentences of the one before, as many as ``overlap``
+    characters hold and the next sentence leaves room for. A sentence longer than
+    ``size`` is a chunk by itself.
+    """
     sentences = F.filter(F.split(F.col(text), r"(?<=[.!?])\s+"), lambda s: F.length(s) > 0)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    none = F.array().cast("array<string>")
+    joined = lambda a: F.array_join(a, " ")
+
+    def tail(open_: Column, s: Column) -> Column:
+        room = F.least(F.lit(overlap), size - 1 - F.length(s))
+        start = F.struct(none.alias("kept"), F.lit(True).alias("on"))
+        def take(acc: Column, x: Column) -> Column:
+            fits = acc["on"] & (F.length(joined(F.concat(F.array(x), acc["kept"]))) <= room)
+            return F.struct(F.when(fits, F.concat(F.array(x), acc["kept"])).otherwise(acc["kept"]).alias("kept"), fits.alias("on"))
+        return F.aggregate(F.reverse(open_), start, take, lambda acc: acc["kept"])
 
     def add(acc: Column, s: Column) -> Column:
-        fits = (F.length(acc["open"]) == 0) | (F.length(acc["open"]) + 1 + F.length(s) <= size)
-        joined = F.when(F.length(acc["open"]) == 0, s).otherwise(F.concat_ws(" ", acc["open"], s))
+        fits = (F.size(acc["open"]) == 0) | (F.length(joined(acc["open"])) + 1 + F.length(s) <= size)
+        kept = tail(acc["open"], s) if overlap else none
         return F.struct(
-            F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
-            F.when(fits, joined).otherwise(s).alias("open"),
+            F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(joined(acc["open"])))).alias("done"),
+            F.when(fits, F.concat(acc["open"], F.array(s))).otherwise(F.concat(kept, F.array(s))).alias("open"),
         )
 
-    chunks = F.aggregate(sentences, start, add, lambda a: F.when(F.length(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
+    chunks = F.aggregate(sentences, F.struct(none.alias("done"), none.alias("open")), add,
+                         lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(joined(a["open"])))).otherwise(a["done"]))
     keep = [c for c in df.columns if c != text]
     return df.where(F.col(text).isNotNull()).select(*keep, F.posexplode(chunks).alias("chunk_no", "chunk"))
 

@@ -79,7 +79,8 @@ def flood_score(spark: SparkSession, d: str) -> DataFrame:
 def with_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Readings with the struct m of cleaned metrics."""
     raw = {"t_min": "t_min_text", "t_max": "t_max", "precip": "rain", "humidity": "rh", "wind": "wind", "ndvi": "ndvi", "doy": "doy", "lat": "lat"}
-    return readings(spark, d).withColumn("m", A.metrics({k: F.col(v) for k, v in raw.items()}))
+    # a row of its own for the metrics, so that they are computed once however many rules read them
+    return readings(spark, d).withColumn("m", F.explode(F.array(A.metrics({k: F.col(v) for k, v in raw.items()}))))
 
 
 @C.query(f"""select event_id, temp_min_c, temp_max_c, temp_avg_c, precip_mm, et0_mm, soil_moisture_idx, humidity_pct, wind_speed_kmh, ndvi_anomaly, heat_stress from {M}""")

@@ -16,8 +16,8 @@ from granary.sources.tables import table
 FIELDS = ("date_published", "date_modified", "scraped_at")
 
 
-def _clock_tables(spark: SparkSession, d: str, estimate: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Values read, declared zones, candidate zones (all offset histories if zones are to be estimated) and abbreviations."""
+def _clock_tables(spark: SparkSession, d: str, estimate: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
+    """Values read, declared zones, candidate zones (all offset histories if zones are to be estimated, else none) and abbreviations."""
     sites, scrapers = table(spark, d, "sites"), table(spark, d, "scrapers")
     own = F.concat(F.lit("site:"), site(F.col("url")))
     scraper = F.concat(F.lit("scraper:"), F.col("scraper_id"))
@@ -36,7 +36,7 @@ def _clock_tables(spark: SparkSession, d: str, estimate: bool = True) -> tuple[D
     declared_zones = [r[0] for r in declared.select("zone").distinct().collect()]  # names of time zones only, some hundreds exist
     zones = clocks.offset_histories(declared_zones) if estimate else declared_zones
     short = spark.createDataFrame(clocks.abbreviations([*zones, *declared_zones]) or [("UTC", "utc", 0)], "zone string, name string, offset long")
-    candidates = spark.createDataFrame([(z,) for z in zones], "zone string")
+    candidates = spark.createDataFrame([(z,) for z in zones], "zone string") if estimate else None
     return clocks.read(values.select("page", "field", "source", "day_order", "value")), declared, candidates, short
 
 

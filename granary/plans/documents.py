@@ -49,8 +49,8 @@ def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query()
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of whole sentences of at most 650 characters; a longer sentence is a chunk by itself."""
-    return retrieval.sentence_chunks(docs(spark, d).select("doc_id", "text"), "text", 650)
+    """Chunks of whole sentences of at most 650 characters that overlap by up to 120; a longer sentence is a chunk by itself."""
+    return retrieval.sentence_chunks(docs(spark, d).select("doc_id", "text"), "text", 650, 120)
 
 
 @C.query("select doc_id, coalesce(lower(strip_accents(trim(replace(text, chr(160), ' ')))), '') as key from documents")

@@ -1,6 +1,7 @@
 """Relational blocks, prefix sums, staging, sinks, profiles, graphs."""
 
 import os
+import re
 
 import numpy as np
 import pytest
@@ -212,3 +213,32 @@ def test_approximate_search_finds_nine_in_ten(spark):
     assert sum(len(r.ids) for r in retrieval.build_lists(e, "vec_id", "embedding", c).collect()) == e.count()  # every row is indexed
     same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)], "vec_id long, embedding array<float>")
     assert retrieval.search_lists(same.limit(2), same, "vec_id", "embedding", 3).count() == 6 and retrieval.search_lists(same, same.limit(0), "vec_id", "embedding", 3).count() == 0
+
+
+def chunked(text, size, overlap):
+    done, open_ = [], []
+    for s in [x for x in re.split(r"(?<=[.!?])\s+", text) if x]:
+        if not open_ or len(" ".join([*open_, s])) <= size:
+            open_.append(s)
+            continue
+        done.append(" ".join(open_))
+        kept = []
+        for x in reversed(open_):
+            if len(" ".join([x, *kept])) > min(overlap, size - 1 - len(s)):
+                break
+            kept.insert(0, x)
+        open_ = [*kept, s]
+    return done + ([" ".join(open_)] if open_ else [])
+
+
+@pytest.mark.parametrize("size, overlap", [(650, 120), (200, 60), (80, 0)])
+def test_sentence_chunks_with_overlap(spark, size, overlap):
+    df = spark.read.parquet(f"{SF_TINY}/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1, "Un. Deux! Trois? " + "x" * 700 + ". Fin."), (-2, ""), (-3, None)], "doc_id long, text string")
+    df = df.unionByName(extra)
+    got = {}
+    for r in sentence_chunks(df, "text", size, overlap).collect():
+        got.setdefault(r.doc_id, []).append((r.chunk_no, r.chunk))
+    for r in df.collect():
+        want = chunked(r.text, size, overlap) if r.text is not None else []
+        assert [c for _, c in sorted(got.get(r.doc_id, []))] == want
