@@ -56,54 +56,84 @@ def _unwrap(x):
     return y if isinstance(y, (dict, list)) else x
 
 
-def shred(x, nodes: dict[bytes, tuple[str, str | None]], bridge: set[tuple]) -> tuple[bytes, str, bool]:
-    """Add the subtree's nodes and links; return its identity, its kind and whether it was quoted."""
-    y = _unwrap(x) if isinstance(x, str) else x
-    quoted, members = y is not x, []
-    if isinstance(y, dict):
-        kind, value, parts = OBJECT, None, [b"o"]
-        for k in sorted(y):
-            child, c, q = shred(y[k], nodes, bridge)
-            members.append((k, 0, child, c, q))
-            name = k.encode("utf-8", "surrogatepass")
-            parts += [b"q" if q else b"p", len(name).to_bytes(4), name, child]
-    elif isinstance(y, list):
-        kind, value, parts = LIST, None, [b"a"]
-        for i, v in enumerate(y, 1):
-            child, c, q = shred(v, nodes, bridge)
-            members.append((None, i, child, c, q))
-            parts += [b"q" if q else b"p", child]
-    elif y is None:
-        kind, value, parts = NULL, None, [b"n"]
-    else:
-        kind, value = (TEXT, y) if isinstance(y, str) else (LITERAL, json.dumps(y))
-        parts = [b"s" if kind == TEXT else b"l", value.encode("utf-8", "surrogatepass")]
-    node = hashlib.blake2b(b"".join(parts), digest_size=16).digest()
-    if node not in nodes:
-        nodes[node] = (kind, value)
-        bridge.update((node, *m) for m in members)
-    return node, kind, quoted
+class Shredder:
+    """Nodes and links of the payloads of one batch, as columns; each distinct node is added once."""
+
+    def __init__(self) -> None:
+        self.kinds: dict[bytes, str] = {}
+        self.leaves: dict[tuple, bytes] = {}  # by type and value, so that a frequent one is hashed once
+        self.nodes: tuple[list, ...] = ([], [], [])  # node, kind, value
+        self.links: tuple[list, ...] = ([], [], [], [], [], [])  # parent, member, pos, child, kind, quoted
+
+    def add(self, x) -> tuple[bytes, str, bool]:
+        """Add a value's subtree; its identity, its kind and whether it was quoted."""
+        y = _unwrap(x) if isinstance(x, str) else x
+        if isinstance(y, dict):
+            names = sorted(y)
+            below = [self.add(y[k]) for k in names]
+            parts = [b"o"]
+            for k, (child, _, quoted) in zip(names, below):
+                name = k.encode("utf-8", "surrogatepass")
+                parts += (b"q" if quoted else b"p", len(name).to_bytes(4), name, child)
+            node, new = self._node(OBJECT, None, b"".join(parts))
+            if new and names:
+                self._link(node, names, [0] * len(names), below)
+            return node, OBJECT, y is not x
+        if isinstance(y, list):
+            below = [self.add(v) for v in y]
+            node, new = self._node(LIST, None, b"a" + b"".join((b"q" if quoted else b"p") + child for child, _, quoted in below))
+            if new and below:
+                self._link(node, [None] * len(below), range(1, len(below) + 1), below)
+            return node, LIST, y is not x
+        kind = NULL if y is None else TEXT if isinstance(y, str) else LITERAL
+        known = self.leaves.get((type(y), repr(y) if isinstance(y, float) else y))
+        if known is None:
+            value = y if kind != LITERAL else json.dumps(y)
+            known, _ = self._node(kind, value, b"n" if y is None else (b"s" if kind == TEXT else b"l") + value.encode("utf-8", "surrogatepass"))
+            self.leaves[type(y), repr(y) if isinstance(y, float) else y] = known
+        return known, kind, False
+
+    def _node(self, kind: str, value: str | None, content: bytes) -> tuple[bytes, bool]:
+        node = hashlib.blake2b(content, digest_size=16).digest()
+        if node in self.kinds:
+            return node, False
+        self.kinds[node] = kind
+        for column, v in zip(self.nodes, (node, kind, value)):
+            column.append(v)
+        return node, True
+
+    def _link(self, node: bytes, names, places, below: list[tuple[bytes, str, bool]]) -> None:
+        parent, member, pos, child, kind, quoted = self.links
+        parent += [node] * len(below)
+        member += names
+        pos += places
+        for c, k, q in below:
+            child.append(c)
+            kind.append(k)
+            quoted.append(q)
 
 
 def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["row", "a", "name", "pos", "b", "kind", "value", "quoted"]
+    kinds = (pa.string(), pa.binary(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.string(), pa.bool_())
     for b in batches:
-        nodes: dict[bytes, tuple[str, str | None]] = {}
-        bridge: set[tuple] = set()
-        roots: set[tuple] = set()
+        s = Shredder()
+        roots: dict[tuple, None] = {}
         for record, source, payload in zip(*(c.to_pylist() for c in b.columns)):
             try:
                 x = _parse(payload)
             except (ValueError, RecursionError):
                 continue
-            roots.add((record, source, *shred(x, nodes, bridge)))
-        rows = [("root", None, r, 0, n, k, s, q) for r, s, n, k, q in roots]
-        rows += [("node", n, None, 0, None, k, v, False) for n, (k, v) in nodes.items()]
-        rows += [("link", p, m, i, c, k, None, q) for p, m, i, c, k, q in bridge]
-        if rows:
-            kinds = (pa.string(), pa.binary(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["row", "a", "name", "pos", "b", "kind", "value", "quoted"]
-            )
+            roots[(record, source, *s.add(x))] = None
+        n, m, r = len(s.nodes[0]), len(s.links[0]), len(roots)
+        if not r:
+            continue
+        record, source, node, kind, quoted = map(list, zip(*roots))
+        none = [None]
+        columns = (
+            ["root"] * r + ["node"] * n + ["link"] * m, none * r + s.nodes[0] + s.links[0], record + none * n + s.links[1], [0] * (r + n) + s.links[2],
+            node + none * n + s.links[3], kind + s.nodes[1] + s.links[4], source + s.nodes[2] + none * m, quoted + [False] * n + s.links[5])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
 def merkle(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
