@@ -159,6 +159,11 @@ def p10_spans(spark: SparkSession, d: str) -> DataFrame:
     return p10.merged_spans(_documents(spark, d), 200).withColumnRenamed("doc", "doc_id")
 
 
+def p10_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a shared passage, by passage, with its place in each: membership without pairs."""
+    return p10.groups(_documents(spark, d), 200).withColumnRenamed("doc", "doc_id")
+
+
 def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     """For each document, how much of its text is shared with others."""
     return p10.coverage(_documents(spark, d), 200).withColumnRenamed("doc", "doc_id")
@@ -166,7 +171,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of this package by name."""
-    own = (p1_found, p1_body, p3_found, p3_repaired, p6_found, p6_spans, p6_cleaned, p7_found, p7_pieces, p8_pack, p8_fill, p8_pack_targets, p8_windows, p9_mix, p9_shares, p10_found, p10_spans, p10_coverage)
+    own = (p1_found, p1_body, p3_found, p3_repaired, p6_found, p6_spans, p6_cleaned, p7_found, p7_pieces, p8_pack, p8_fill, p8_pack_targets, p8_windows, p9_mix, p9_shares, p10_found, p10_spans, p10_groups, p10_coverage)
     return {f.__name__: f for f in own}
 
 

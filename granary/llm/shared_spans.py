@@ -284,6 +284,19 @@ def shared_pairs(docs: DataFrame, min_len: int = 200) -> DataFrame:
     return by_class.unionByName(by_key).where("doc_a < doc_b").distinct()
 
 
+def groups(docs: DataFrame, min_len: int = 200) -> DataFrame:
+    """(passage, doc, start, end): the records that hold a shared passage and where; all records of a passage hold it alike.
+
+    Any two records that share a span of min_len characters have a passage in
+    common; there are no pairs, so that a passage with many copies costs a row each.
+    """
+    occ, links, hot_keys = shared(docs, min_len)
+    g = links.select(
+        F.md5(F.concat_ws("|", "class_a", "class_b")).alias("passage"), F.explode(F.array_distinct(F.array("class_a", "class_b"))).alias("cls"), "l", "r"
+    ).unionByName(hot_keys.where("window").select(F.lower(F.hex("key")).alias("passage"), "cls", "l", "r"))
+    return g.join(occ, "cls").select("passage", "doc", (F.col("start") - F.col("l")).alias("start"), (F.col("end") + F.col("r")).alias("end")).distinct()
+
+
 def merged_spans(docs: DataFrame, min_len: int = 200) -> DataFrame:
     """(doc, start, end): the shared passages of each record, from 0 and without the end, overlapping ones as one.
 

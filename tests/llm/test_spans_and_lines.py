@@ -105,6 +105,22 @@ def test_passages_have_places(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_groups_stand_for_all_pairs(spark, monkeypatch, hot):
+    t = texts(1)
+    monkeypatch.setattr(shared_spans.shared, "__defaults__", (200, hot))
+    df = spark.createDataFrame(list(t.items()), "doc long, text string")
+    members = defaultdict(list)
+    for r in shared_spans.groups(df, 40).collect():
+        members[r.passage].append((r.doc, t[r.doc][r.start : r.end]))
+    pairs = set()
+    for rows in members.values():
+        assert len({x for _, x in rows}) == 1 and len(rows[0][1]) >= 40
+        docs = sorted({d for d, _ in rows})
+        pairs |= {(a, b) for i, a in enumerate(docs) for b in docs[i + 1 :]}
+    assert pairs == {tuple(r) for r in shared_spans.shared_pairs(df, 40).collect()}
+
+
 def test_empty_spans(spark):
     assert shared_spans.shared_pairs(spark.createDataFrame([], "doc long, text string"), 200).count() == 0
 
