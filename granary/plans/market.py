@@ -189,16 +189,16 @@ def match_alerts_update(spark: SparkSession, d: str) -> DataFrame:
 
 
 @C.query("""
-select part.p_brand as brand, p_partkey, p_retailprice, case when p_partkey is null then 'ALERT' else 'ORDER' end as action
-from (values ('Brand#11'), ('Brand#23'), ('Brand#99')) as w(brand) left join lateral
- (select * from part where p_brand = w.brand order by p_retailprice, p_partkey limit 1) part on true""".replace("part.p_brand as brand", "w.brand as brand"))
+with w as (select event_id, 'Brand#' || (user_id % 40) as brand from events),
+c as (select p_brand, min_by(p_partkey, (p_retailprice, p_partkey)) as p_partkey, min(p_retailprice) as p_retailprice from part group by 1)
+select event_id, brand, p_partkey, p_retailprice, case when p_partkey is null then 'ALERT' else 'ORDER' end as action from w left join c on p_brand = brand""")
 def order_or_alert(spark: SparkSession, d: str) -> DataFrame:
     """For each wish the cheapest product, or a search alert if there is none."""
-    wishes = spark.createDataFrame([("Brand#11",), ("Brand#23",), ("Brand#99",)], "brand string")
+    wishes = table(spark, d, "events").select("event_id", F.concat(F.lit("Brand#"), F.col("user_id") % 40).alias("brand"))
     cheapest = table(spark, d, "part").groupBy("p_brand").agg(
         F.min(F.struct("p_retailprice", "p_partkey")).alias("x")).select("p_brand", "x.p_partkey", "x.p_retailprice")
-    return F.broadcast(wishes).join(cheapest, F.col("brand") == F.col("p_brand"), "left").select(
-        "brand", "p_partkey", "p_retailprice", F.when(F.col("p_partkey").isNull(), "ALERT").otherwise("ORDER").alias("action"))
+    return R.lookup(wishes, cheapest, "brand", "p_brand").select(
+        "event_id", "brand", "p_partkey", "p_retailprice", F.when(F.col("p_partkey").isNull(), "ALERT").otherwise("ORDER").alias("action"))
 
 
 @C.query("""
@@ -294,15 +294,16 @@ def alias_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @C.query("""
-with a as (select n_nationkey as id, lower(n_name) as k, 0 as rank from nation union all
- select n_nationkey, lower(substr(n_name, 1, 3)), 1 from nation)
-select w.term, id from (values ('FRANCE'), ('Ger'), ('zzz')) w(term) left join lateral
- (select id from a where k = lower(w.term) order by rank, id limit 1) on true""")
+with a as (select n_nationkey as id, lower(n_name) as k, 0 as rank from nation union all select n_nationkey, lower(n_name[8:]) || ' ' || n_regionkey, 1 from nation),
+b as (select k, min_by(id, (rank, id)) as id from a group by 1),
+t as (select event_id, case event_id % 3 when 0 then 'Nation_' || (user_id % 30) when 1 then (user_id % 25) || ' ' || (user_id % 5) else 'zzz' end as term from events)
+select event_id, term, b.id from t left join b on b.k = lower(term)""")
 def alias_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Terms to records: the key goes before an alias, both without case."""
-    n = table(spark, d, "nation")
+    n, u = table(spark, d, "nation"), F.col("user_id")
     a = n.select(F.lower("n_name").alias("k"), F.lit(0).alias("rank"), F.col("n_nationkey").alias("id")).unionByName(
-        n.select(F.lower(F.substring("n_name", 1, 3)).alias("k"), F.lit(1).alias("rank"), F.col("n_nationkey").alias("id")))
-    a = a.groupBy("k").agg(F.min(F.struct("rank", "id")).alias("x"))
-    terms = spark.createDataFrame([("FRANCE",), ("Ger",), ("zzz",)], "term string")
-    return terms.join(a, F.lower("term") == F.col("k"), "left").select("term", F.col("x.id").alias("id"))
+        n.select(F.concat_ws(" ", F.lower(F.substr("n_name", F.lit(8))), "n_regionkey").alias("k"), F.lit(1).alias("rank"), F.col("n_nationkey").alias("id")))
+    a = a.groupBy("k").agg(F.min(F.struct("rank", "id")).alias("x")).select("k", "x.id")
+    term = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Nation_"), u % 30)).when(F.col("event_id") % 3 == 1, F.concat_ws(" ", u % 25, u % 5)).otherwise("zzz")
+    terms = table(spark, d, "events").select("event_id", term.alias("term")).withColumn("low", F.lower("term"))
+    return R.lookup(terms, a, "low", "k").select("event_id", "term", "id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from granary.operators import relational as R
 from granary.operators.prefix import running_sum
 from granary.plans.catalog import Catalog
+from granary.plans.flows import urgent
 from granary.sources.tables import table
 
 C = Catalog()
@@ -250,13 +251,13 @@ def cache_lookup_ttl(spark: SparkSession, d: str) -> DataFrame:
 
 
 @C.query("""
-select event_id, case when event_type in ('error') or lower(props) like '%"k": 7%' then false else true end as cacheable,
- ts + interval 300 second as expires_at, ts + interval 300 second < timestamp '2024-01-15' as expired from events""")
+select doc_id, not regexp_matches(lower(text), 'urgence|urgent|emergency|maladie|disease|inondation|flood|criquet|locust|invasion|famine|sécheresse|drought|alerte|alert|danger|mort|dead|dying|mourir|épidémie|epidemic|contamination') as cacheable,
+ epoch_us(created_at) + 300000000 as expires_us, epoch_us(created_at) + 300000000 < epoch_us(timestamptz '2024-01-15 00:00:00+00') as expired from documents where text is not null""")
 def cache_policy(spark: SparkSession, d: str) -> DataFrame:
-    """Urgent payloads bypass the cache; others expire after a time to live."""
-    urgent = F.exists(F.array(F.lit('"k": 7')), lambda k: F.contains(F.lower("props"), k)) | (F.col("event_type") == "error")
-    until = F.col("ts") + F.expr("INTERVAL 300 SECOND")
-    return events(spark, d).select("event_id", (~urgent).alias("cacheable"), until.alias("expires_at"), (until < F.expr("timestamp_ntz'2024-01-15'")).alias("expired"))
+    """Urgent texts bypass the cache; others expire after a time to live."""
+    until = F.unix_micros("created_at") + 300_000_000
+    return table(spark, d, "documents").where("text is not null").select(
+        "doc_id", (~urgent(F.col("text"))).alias("cacheable"), until.alias("expires_us"), (until < F.unix_micros(F.lit("2024-01-15T00:00:00Z").cast("timestamp"))).alias("expired"))
 
 
 @C.query("""select user_id, max_by(event_type, (ts, event_id)) as last_status, max(ts) as last_seen from events group by 1""")

@@ -5,6 +5,7 @@ Schemas are explicit, so nothing is inferred at read time; unknown members are i
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,6 +93,33 @@ def binaries(spark: SparkSession, root: str, glob: str = "*.pdf") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "length", "content")
 
 
+def extracted(files: DataFrame, readers: list, enough: int = 100) -> DataFrame:
+    """(path, text, reader) of ``files(path, content)`` by the first of ``readers`` that gives more than ``enough`` characters.
+
+    A reader is a function from bytes to text, as installed libraries offer them; one
+    that raises counts as having found nothing. If none finds enough the longest
+    text holds; reader is its place from 0, null without any text.
+    """
+    def run(frames):
+        for f in frames:
+            out = []
+            for path, content in zip(f["path"], f["content"]):
+                best, by = "", None
+                for i, read in enumerate(readers):
+                    try:
+                        text = (read(bytes(content)) or "").strip() if content is not None else ""
+                    except Exception:  # a broken file is a row without text, the others go on
+                        text = ""
+                    if len(text) > len(best):
+                        best, by = text, i
+                    if len(text) > enough:
+                        break
+                out.append((path, best or None, by))
+            yield pd.DataFrame(out, columns=["path", "text", "reader"]).astype({"reader": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, text string, reader int")
+
+
 def path_class(path: Column) -> Column:
     """struct(doc_type, category) of a path, by its folders in order."""
     p = F.split(F.lower(path), r"[/\\]")

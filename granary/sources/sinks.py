@@ -82,3 +82,14 @@ def write_keyed(df: DataFrame, path: str, url: str) -> None:
     """JSON rows partitioned by the first two characters of the url's hash, which names the entry."""
     key = F.substring(F.md5(url), 1, 12)
     df.withColumn("key", key).withColumn("shard", F.substring(key, 1, 2)).write.mode("overwrite").partitionBy("shard").json(path)
+
+
+def save_progress(done: DataFrame, path: str) -> None:
+    """Keep the last state of each task of ``done(task, state, at)``, so that a later run can go on from there."""
+    write_upsert(done.select("task", "state", "at"), path, ["task"], ["at"])
+
+
+def remaining(tasks: DataFrame, path: str) -> DataFrame:
+    """``tasks(task, ...)`` that aren't completed yet; failed ones come again."""
+    state = current(tasks.sparkSession, path)
+    return tasks if state is None else tasks.join(state.where("state = 'completed'").select("task"), "task", "left_anti")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.plans import pages, registry
-from granary.sources import files, html, polling
+from granary.sources import files, html, polling, sinks
 from tests.helpers import SF_TINY
 
 PAGE = """<html><head><title> Prix du mil </title><meta property="og:description" content="Une note">
@@ -108,3 +108,26 @@ def test_resources(spark):
     assert pages.read_resource(spark, SF_TINY, "db://regions").count() > 0
     with pytest.raises(ValueError):
         pages.read_resource(spark, SF_TINY, "db://none")
+
+
+def test_extraction_falls_back(spark):
+    def first(b):
+        if b.startswith(b"bad"):
+            raise ValueError("broken")
+        return "court"
+
+    rows = [("a", b"plain " * 30), ("b", b"bad"), ("c", b"x"), ("d", None), ("e", b"")]
+    df = spark.createDataFrame([(p, None if b is None else bytearray(b)) for p, b in rows], "path string, content binary")
+    got = {r.path: (r.text, r.reader) for r in files.extracted(df, [first, lambda b: b.decode()]).collect()}
+    assert got["a"][1] == 1 and got["b"] == ("bad", 1) and got["c"] == ("court", 0) and got["d"] == (None, None) and got["e"] == ("court", 0)
+    assert files.extracted(df, []).where("text is not null").count() == 0
+
+
+def test_progress(spark, tmp_path):
+    tasks = spark.createDataFrame([("a",), ("b",), ("c",)], "task string")
+    path = str(tmp_path / "state")
+    assert sinks.remaining(tasks, path).count() == 3
+    sinks.save_progress(spark.createDataFrame([("a", "completed", 1), ("b", "failed", 1), ("b", "running", 0)], "task string, state string, at int"), path)
+    assert {r.task for r in sinks.remaining(tasks, path).collect()} == {"b", "c"}
+    sinks.save_progress(spark.createDataFrame([("b", "completed", 2)], "task string, state string, at int"), path)
+    assert {r.task for r in sinks.remaining(tasks, path).collect()} == {"c"}
