@@ -80,8 +80,7 @@ def p6_spans(spark: SparkSession, d: str) -> DataFrame:
 def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Each page's content without the passages and lines its site repeats in at least 8 pages."""
     pages = _pages(spark, d).where("text is not null")
-    lines = p6.repeated_lines(pages, 8)
-    out = p6.without_repetitions(pages, lines, p6.repeated_spans(pages, 8))
+    out = p6.without_repetitions(pages, *p6.repetitions(pages, 8))
     return out.select(F.col("doc").alias("page_id"), "site", F.col("text").alias("content"))
 
 

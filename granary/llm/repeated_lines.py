@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -167,6 +167,16 @@ def repeated_lines(docs: DataFrame, min_docs: int = 8) -> DataFrame:
     return _lines(c, frequent, min_docs)
 
 
+def _runs(c: DataFrame, frequent: DataFrame, least: int) -> DataFrame:
+    """(doc, start, end) of the runs of repeated chunks among chunk rows with places."""
+    by = W.partitionBy("doc").orderBy("start", "end")  # the chunks of one text
+    often = frequent.select("site", "chunk", F.lit(True).alias("often"))
+    x = c.where("chunk is not null").join(often, ["site", "chunk"], "left").select("doc", "start", "end", "often").distinct()
+    x = x.withColumn("run", F.sum(F.when(F.col("often") & F.lag("often").over(by), 0).otherwise(1)).over(by)).where("often")
+    runs = x.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.where(F.col("end") - F.col("start") >= least).select("doc", "start", "end")
+
+
 def repeated_spans(docs: DataFrame, min_docs: int = 8, least: int = CUT_LETTERS) -> DataFrame:
     """(doc, start, end): runs of repeated chunks that stretch over at least ``least`` characters of their text.
 
@@ -174,21 +184,18 @@ def repeated_spans(docs: DataFrame, min_docs: int = 8, least: int = CUT_LETTERS)
     its run; what a run lacks at its ends is less than a chunk on each side.
     """
     c = stage(chunks(docs, places=True).where("chunk is not null").select("site", "doc", "chunk", "start", "end"), "p6-places")
-    frequent = over(c, "chunk", min_docs).select("site", "chunk", F.lit(True).alias("often"))
-    by = W.partitionBy("doc").orderBy("start", "end")  # the chunks of one text
-    x = c.join(frequent, ["site", "chunk"], "left").select("doc", "start", "end", "often").distinct()
-    x = x.withColumn("run", F.sum(F.when(F.col("often") & F.lag("often").over(by), 0).otherwise(1)).over(by)).where("often")
-    runs = x.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return runs.where(F.col("end") - F.col("start") >= least).select("doc", "start", "end")
+    return _runs(c, over(c, "chunk", min_docs), least)
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, breaks: bool = False) -> DataFrame:
-    """``docs(doc, text)`` with text less the disjoint ``spans(doc, start, end)``; all rows and columns stay.
+def repetitions(docs: DataFrame, min_docs: int = 8, least: int = CUT_LETTERS) -> tuple[DataFrame, DataFrame]:
+    """(repeated_lines, repeated_spans) of ``docs``, which are read once for both."""
+    c = stage(chunks(docs, places=True), "p6-all")
+    frequent = stage(over(c.where("chunk is not null"), "chunk", min_docs).select("site", "chunk"), "p6-frequent")
+    return _lines(c, frequent, min_docs), _runs(c, frequent, least)
 
-    With ``breaks`` the line breaks within spans stay, so that line numbers hold.
-    """
-    gone = spans.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("gone_spans"))  # of one text
-    x = docs.join(gone, "doc", "left")
+
+def _without_spans(breaks: bool) -> Column:
+    """The column text less its gone_spans, disjoint and in order; with ``breaks`` the line breaks within them stay."""
     n = F.size("gone_spans")
     before = lambda i: F.when(i == 0, 0).otherwise(F.get("gone_spans", i - 1)["end"])
     upto = lambda i: F.coalesce(F.get("gone_spans", i)["start"], F.length("text"))
@@ -196,25 +203,42 @@ def without_spans(docs: DataFrame, spans: DataFrame, breaks: bool = False) -> Da
     def piece(i):
         kept = F.substr(F.col("text"), before(i) + 1, upto(i) - before(i))
         cut = F.get("gone_spans", i)
-        return F.concat(kept, F.coalesce(F.regexp_replace(F.substr(F.col("text"), cut["start"] + 1, cut["end"] - cut["start"]), r"[^\n]", ""), F.lit(""))) if breaks else kept
+        inside = F.regexp_replace(F.substr(F.col("text"), cut["start"] + 1, cut["end"] - cut["start"]), r"[^\n]", "")
+        return F.concat(kept, F.coalesce(inside, F.lit(""))) if breaks else kept
 
-    whole = F.array_join(F.transform(F.sequence(F.lit(0), n), piece), "")
-    return x.withColumn("text", F.when(n > 0, whole).otherwise(F.col("text"))).drop("gone_spans")
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n), piece), "")).otherwise(F.col("text"))
 
 
-def without_lines(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """``docs(doc, site, text)`` with text less the lines in ``drop(doc, line_no)``; all rows and columns stay."""
-    gone = drop.groupBy("doc").agg(F.collect_set("line_no").alias("gone_lines"))
+def _without_lines() -> Column:
+    """The column text less its gone_lines, numbered from 1."""
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("n"), x.alias("t")))
     kept = F.filter(numbered, lambda x: ~F.array_contains(F.coalesce("gone_lines", F.array().cast("array<int>")), x["n"]))
-    return (
-        docs.join(gone, "doc", "left")
-        .withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(F.transform(kept, lambda x: x["t"]), "\n")))
-        .drop("gone_lines")
-    )
+    return F.when(F.col("text").isNotNull(), F.array_join(F.transform(kept, lambda x: x["t"]), "\n"))
+
+
+def _spans_of(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("gone_spans"))  # of one text
+
+
+def _lines_of(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("doc").agg(F.collect_set("line_no").alias("gone_lines"))
+
+
+def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs(doc, text)`` with text less the disjoint ``spans(doc, start, end)``; all rows and columns stay."""
+    return docs.join(_spans_of(spans), "doc", "left").withColumn("text", _without_spans(False)).drop("gone_spans")
+
+
+def without_lines(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """``docs(doc, site, text)`` with text less the lines in ``drop(doc, line_no)``; all rows and columns stay."""
+    return docs.join(_lines_of(drop), "doc", "left").withColumn("text", _without_lines()).drop("gone_lines")
 
 
 def without_repetitions(docs: DataFrame, lines: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs(doc, site, text)`` without repeated ``lines(doc, line_no)`` and ``spans(doc, start, end)``; runs of blank lines become one."""
-    out = without_lines(without_spans(docs, spans, breaks=True), lines)
-    return out.withColumn("text", F.regexp_replace("text", r"\n\s*\n\s*\n+", "\n\n"))
+    """``docs(doc, site, text)`` without repeated ``lines(doc, line_no)`` and ``spans(doc, start, end)``; runs of blank lines become one.
+
+    What goes from each text is put together first, so that texts are joined once.
+    """
+    x = docs.join(_lines_of(lines).join(_spans_of(spans), "doc", "full"), "doc", "left")
+    x = x.withColumn("text", _without_spans(True)).withColumn("text", _without_lines()).drop("gone_lines", "gone_spans")
+    return x.withColumn("text", F.regexp_replace("text", r"\n\s*\n\s*\n+", "\n\n"))

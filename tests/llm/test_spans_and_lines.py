@@ -187,6 +187,12 @@ def test_notice_wrapped_otherwise(spark):
         else:
             assert clean[i] == text
     assert repeated_lines.repeated_spans(df.where("doc < 7"), 8).count() == 0
+    lines, same = repeated_lines.repetitions(df, 8)
+    assert {tuple(r) for r in same.collect()} == {tuple(r) for r in spans.collect()}
+    assert {tuple(r) for r in lines.collect()} == {tuple(r) for r in repeated_lines.repeated_lines(df, 8).collect()}
+    both = {r.doc: r.text for r in repeated_lines.without_repetitions(df, lines, same).collect()}
+    assert len(both) == len(rows) and all(both[i] == text for i, _, text in rows if i >= 12)
+    assert all(letters(both[i]) == letters(clean[i]) for i, _, _ in rows)
     empty = spark.createDataFrame([(1, None, "a"), (2, "s", None), (3, "s", "")], "doc long, site string, text string")
     assert repeated_lines.repeated_spans(empty, 1).count() == 0
 
