@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.functions.text import fold
+
 WEATHER = (
     "metadata struct<zone_name:string, latitude:double, longitude:double, download_date:string>, "
     "daily struct<time:array<string>, temperature_2m_max:array<double>, temperature_2m_min:array<double>, precipitation_sum:array<double>, "
@@ -20,7 +22,11 @@ CHART = (
     "results array<struct<url:string, metadata:struct<city:string, raw_data:array<struct<title:string, "
     "series:array<struct<name:string, data:array<struct<category:bigint, y:double>>>>>>>>>"
 )
-PRICES = "prices map<string, struct<aliases:array<string>, price:double, volatility:double>>"
+PRICES = (
+    "prices map<string, struct<aliases:array<string>, price:double, fair_price:double, volatility:double>>, "
+    "offers array<struct<side:string, commodity:string, quantity:double, location:string, contact:string>>, "
+    "seasonal map<string, map<string, string>>"
+)
 
 
 def weather(spark: SparkSession, path: str) -> DataFrame:
@@ -71,12 +77,32 @@ def chart_rows(raw: DataFrame) -> DataFrame:
 
 
 def prices(spark: SparkSession, path: str, defaults: DataFrame) -> DataFrame:
-    """``defaults(key, price, volatility)`` with the entries of a file put over them, member by member."""
+    """``defaults(key, price, volatility)`` with the entries of a file put over them, member by member; keys are compared without case and accents.
+
+    A fair price that isn't stated is the price, a volatility 0, aliases the key alone.
+    """
+    raw = spark.read.schema(PRICES).option("multiLine", True).json(path)
+    own = raw.select(F.explode("prices").alias("name", "v")).select(fold(F.col("name")).alias("key"), "v.*")
+    base = defaults.withColumn("key", fold(F.col("key")))
+    return base.alias("d").join(own.alias("o"), "key", "full").select(
+        "key", F.coalesce("o.price", "d.price").alias("price"), F.coalesce("o.fair_price", "o.price", "d.price").alias("fair_price"),
+        F.coalesce("o.volatility", "d.volatility", F.lit(0.0)).alias("volatility"),
+        F.coalesce(F.when(F.size("o.aliases") > 0, F.col("o.aliases")), F.array("key")).alias("aliases"))
+
+
+def offers(spark: SparkSession, path: str, defaults: DataFrame) -> DataFrame:
+    """(side, commodity, quantity, location, contact) of a file if it has any, else of ``defaults``; commodities without case and accents."""
+    raw = spark.read.schema(PRICES).option("multiLine", True).json(path)
+    own = raw.select(F.explode("offers").alias("o")).select("o.*")
+    out = defaults.select(*own.columns) if own.isEmpty() else own
+    return out.withColumn("commodity", fold(F.col("commodity")))
+
+
+def seasons(spark: SparkSession, path: str, defaults: DataFrame) -> DataFrame:
+    """(key, name, value) of a file's seasons if it has any, else of ``defaults``."""
     raw = spark.read.schema(PRICES).option("multiLine", True).json(path)
-    own = raw.select(F.explode("prices").alias("key", "v")).select("key", "v.price", "v.volatility", "v.aliases")
-    return defaults.alias("d").join(own.alias("o"), "key", "full").select(
-        "key", F.coalesce("o.price", "d.price").alias("price"), F.coalesce("o.volatility", "d.volatility").alias("volatility"),
-        F.coalesce("o.aliases", F.array().cast("array<string>")).alias("aliases"))
+    own = raw.select(F.explode("seasonal").alias("key", "m")).select(fold(F.col("key")).alias("key"), F.explode("m").alias("name", "value"))
+    return defaults.select(*own.columns) if own.isEmpty() else own
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:

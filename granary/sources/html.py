@@ -200,6 +200,59 @@ def pairs(pages: pd.Series) -> pd.Series:
     return pd.Series([dict(read(p).pairs) for p in pages], dtype=object)
 
 
+class _Form(HTMLParser):
+    """Title and questions of a form: headings by role, options by class."""
+
+    def __init__(self):
+        super().__init__()
+        self.title, self.questions = "", []
+        self._open: list[tuple[str, str]] = []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        name = a.get("class") or ""
+        role = "title" if tag == "h1" or "HeaderTitle" in name else "question" if a.get("role") == "heading" else "option" if "Option" in name else ""
+        if role == "question":
+            self.questions.append(("", []))
+        if role == "option" and self.questions and not any(r == "option" for _, r in self._open):
+            self.questions[-1][1].append("")
+        if tag not in ("br", "img", "hr", "input", "link", "meta"):
+            self._open.append((tag, role))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self._open):
+            while self._open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        roles = [r for _, r in self._open]
+        if "title" in roles:
+            self.title += data
+        elif "question" in roles:
+            self.questions[-1] = (self.questions[-1][0] + data, self.questions[-1][1])
+        elif "option" in roles and self.questions and self.questions[-1][1]:
+            self.questions[-1][1][-1] += data
+
+
+QUESTIONS = T.StructType([
+    T.StructField("title", T.StringType()),
+    T.StructField("questions", T.ArrayType(T.StructType([T.StructField("question", T.StringType()), T.StructField("options", T.ArrayType(T.StringType()))])))])
+
+
+@F.pandas_udf(QUESTIONS)
+def form(pages: pd.Series) -> pd.DataFrame:
+    """Title of a form and its questions in order with their options; null and empty pages have none."""
+    rows = []
+    for page in pages:
+        r = _Form()
+        if page:
+            r.feed(page)
+            r.close()
+        asked = [(q.strip(), [o.strip() for o in options if o.strip()]) for q, options in r.questions]
+        rows.append((r.title.strip() or None, [{"question": q, "options": o} for q, o in asked if q]))
+    return pd.DataFrame(rows, columns=["title", "questions"])
+
+
 def file_format(url: Column) -> Column:
     """Format of a data file by its extension; null if it isn't one."""
     names = [x for k, v in DATA_FILES.items() for x in (F.lit(k), F.lit(v))]

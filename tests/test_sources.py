@@ -45,6 +45,14 @@ def test_reports(spark):
         assert (r.r == text.strip()) if r.ok else r.r is None
 
 
+def test_forms(spark):
+    page = """<h1>Enquête</h1><div class='freebirdFormviewerComponent'><div role='heading'>Quelle <b>culture</b> ?</div><span class='aOptionText'>Mil</span>
+    <div class='xOption'><span class='yOptionText'>Riz</span></div></div><div role='heading'>Combien ?</div>"""
+    got = [r.f for r in spark.createDataFrame([(page,), (None,), ("<p>rien",)], "h string").select(html.form("h").alias("f")).collect()]
+    assert got[0].title == "Enquête" and [(q.question, q.options) for q in got[0].questions] == [("Quelle culture ?", ["Mil", "Riz"]), ("Combien ?", [])]
+    assert got[1].title is None and got[1].questions == [] and got[2].questions == []
+
+
 def test_link_columns(spark):
     u = F.col("u")
     df = spark.createDataFrame([
@@ -67,7 +75,14 @@ def test_json_files(spark, tmp_path):
     assert {(r.city, r.series, r.value) for r in files.charts(spark, str(tmp_path / "c.json")).collect()} == {("B", "n", 2.5), ("B", "e", None)}
     (tmp_path / "p.json").write_text(json.dumps({"prices": {"mil": {"price": 300.0, "aliases": ["petit mil"]}}}))
     d = spark.createDataFrame([("mil", 250.0, 0.1), ("riz", 400.0, 0.2)], "key string, price double, volatility double")
-    assert {(r.key, r.price, r.volatility) for r in files.prices(spark, str(tmp_path / "p.json"), d).collect()} == {("mil", 300.0, 0.1), ("riz", 400.0, 0.2)}
+    got = files.prices(spark, str(tmp_path / "p.json"), d).collect()
+    assert {(r.key, r.price, r.fair_price, r.volatility, tuple(r.aliases)) for r in got} == {("mil", 300.0, 300.0, 0.1, ("petit mil",)), ("riz", 400.0, 400.0, 0.2, ("riz",))}
+    o = spark.createDataFrame([("VENTE", "Maïs", 2.0, "Nord", "x")], "side string, commodity string, quantity double, location string, contact string")
+    z = spark.createDataFrame([("mil", "high", "mai")], "key string, name string, value string")
+    assert files.offers(spark, str(tmp_path / "p.json"), o).first().commodity == "mais" and files.seasons(spark, str(tmp_path / "p.json"), z).first().value == "mai"
+    (tmp_path / "q.json").write_text(json.dumps({"offers": [{"side": "ACHAT", "commodity": "Niébé", "quantity": 5}], "seasonal": {"Riz": {"high": "juin", "low": "oct"}}}))
+    assert [tuple(r)[:3] for r in files.offers(spark, str(tmp_path / "q.json"), o).collect()] == [("ACHAT", "niebe", 5.0)]
+    assert {tuple(r) for r in files.seasons(spark, str(tmp_path / "q.json"), z).collect()} == {("riz", "high", "juin"), ("riz", "low", "oct")}
 
 
 def test_folders_and_cards(spark, tmp_path):
