@@ -139,7 +139,10 @@ class Vocabulary:
 
     def sound(self, line: str) -> bool:
         """True if no token of the line can be a misread word, wherever it stands."""
-        for w in TOKEN.findall(line):
+        found = TOKEN.findall(line)
+        if self._sound.issuperset(found):
+            return True
+        for w in found:
             if w not in self._sound:
                 if any(c.isalpha() for c in w) and self.meant(w) is not None:
                     return False
@@ -341,13 +344,14 @@ def furniture(lines: list[str], title: str | None, words: Vocabulary) -> set[int
             if not any(h[:2] == x[:2] or h[2:] == x[2:] or h[1:3] == x[1:3] for _, x in names):
                 continue
         keys[i] = key = fuzzy_key(s)
-        parts = [x for x in (fuzzy_key(p) for p in PARTS.split(s)) if x]
-        if any(p in words.series for p in (key, *parts)):
+        pieces = PARTS.split(s)
+        parts = [key] if len(pieces) == 1 else [key, *filter(None, map(fuzzy_key, pieces))]
+        if any(p in words.series for p in parts):
             series.append(i)
         for n, _ in names:
-            if any(len(p) >= 8 and alike(p, n[: len(p)] if len(p) < len(n) else n) >= 0.8 for p in (key, *parts)):
+            if any(len(p) >= 8 and alike(p, n[: len(p)] if len(p) < len(n) else n) >= 0.8 for p in parts):
                 titled.append(i)
-                if len(PARTS.split(s)) > 1:
+                if len(pieces) > 1:
                     suffixed.add(i)
                 break
     out |= set(series)
@@ -390,7 +394,7 @@ def furniture(lines: list[str], title: str | None, words: Vocabulary) -> set[int
     width = sorted(len(lines[i].strip()) for i in filled)[len(filled) * 9 // 10]
     for i in filled:
         s = lines[i].strip("\f ")
-        if TAIL_PAGE.search(s):
+        if "|" in s and TAIL_PAGE.search(s):
             out.add(i)
         elif i in feed and i not in own and s and not s[0].islower() and len(s) < 0.8 * width and s[-1] not in ".;:!?" + HYPHENS:
             k = place[i]
