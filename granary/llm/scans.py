@@ -55,9 +55,10 @@ PARTS = re.compile(r"\s{2,}|\s[—–|]\s")
 BROKEN = re.compile(r"((?:[^\W_]|[@|])+(?:[-'’‐](?:[^\W_]|[@|])+)*)([-­¬‐‑])\s*$")
 GOES_ON = re.compile(r"\s*((?:[^\W\d_]|[@|0-9])+(?:[-‐](?:[^\W\d_])+)*)")
 NUMBER = r"[0-9lIiOoSB|]{1,4}"
+FIGURE = rf"(?-i:{NUMBER})"  # in other cases these letters are no figures: "sol", "12b"
 PAGE = re.compile(
-    rf"^\W*?(?:(?P<word>page|pages|p\.|pg\.?|folio|f\.)\s*(?P<a>{NUMBER})(?:\s*(?:/|sur|of|de)\s*{NUMBER})?|"
-    rf"(?P<dash>[-–—]\s*)(?P<b>{NUMBER})\s*[-–—]|(?P<c>{NUMBER})\s*(?P<slash>/|sur|of)\s*{NUMBER}|(?P<d>{NUMBER}))\W*?$",
+    rf"^\W*?(?:(?P<word>page|pages|p\.|pg\.?|folio|f\.)\s*(?P<a>{FIGURE})(?:\s*(?:/|sur|of|de)\s*{NUMBER})?|"
+    rf"(?P<dash>[-–—]\s*)(?P<b>{FIGURE})\s*[-–—]|(?P<c>{FIGURE})\s*(?P<slash>/|sur|of)\s*{NUMBER}|(?P<d>{FIGURE}))\W*?$",
     re.I,
 )
 TAIL_PAGE = re.compile(rf"\|\s*p(?:age|\.)?\s*{NUMBER}\s*$", re.I)
@@ -218,7 +219,7 @@ def roman_number(line: str) -> int | None:
     if not s or not ROMAN.match(s):
         return None
     value, last = 0, 0
-    for c in reversed([c for c in s.lower() if c.isalpha()]):
+    for c in reversed([c for c in s.lower().replace("ı", "i") if c.isalpha()]):
         n = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}[c]
         value, last = (value - n, last) if n < last else (value + n, n)
     return value or None

@@ -151,3 +151,15 @@ def test_page_numbers():
     assert scans.page_number("- 119 -") == ("dash", 119) and scans.page_number("Page l2O") == ("word", 120) and scans.page_number("5/lO") == ("slash", 5)
     assert scans.page_number("   12 ") == ("plain", 12) and scans.page_number("12 kg") is None and scans.roman_number("xiv") == 14
     assert scans.number_chain([(10, "plain", 2), (15, "plain", 900), (40, "plain", 3), (70, "plain", 4)]) == {10, 40, 70}
+
+
+def test_short_words_are_no_page_numbers(spark):
+    """A line may be a short word of letters that stand for figures in other cases, as where a text is cut short."""
+    for line in ("sol", "sols.", "so", "Lo", "bois", "12b", "LL", "- s -", "page sol", "s/b", "ıı", "3ſ"):
+        assert scans.page_number(line) is None
+    assert scans.page_number("PAGE SO") == ("word", 50) and scans.page_number("Page 3 SUR 12") == ("word", 3)
+    assert scans.roman_number("xı") == 11 and scans.roman_number("İV") == 4
+    rows = [("a", "content", None, "Les maraîchers observent un jaunissement des feuilles\nso"), ("b", "content", None, "Le fumier va au\nsol\nxı")]
+    df = spark.createDataFrame(rows, "item string, field string, title string, text string")
+    assert scans.faults(df).count() == 0
+    assert {r.item: r.text for r in scans.repair(df).collect()} == {"a": "Les maraîchers observent un jaunissement des feuilles so", "b": "Le fumier va au sol xı"}
