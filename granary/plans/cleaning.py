@@ -16,8 +16,8 @@ from granary.sources.tables import table
 FIELDS = ("date_published", "date_modified", "scraped_at")
 
 
-def _clock_tables(spark: SparkSession, d: str, estimate: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
-    """Values read, declared zones, candidate zones (all offset histories if zones are to be estimated, else none) and abbreviations."""
+def _clock_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Values read, declared zones, candidate zones (all offset histories) and abbreviations."""
     sites, scrapers = table(spark, d, "sites"), table(spark, d, "scrapers")
     own = F.concat(F.lit("site:"), site(F.col("url")))
     scraper = F.concat(F.lit("scraper:"), F.col("scraper_id"))
@@ -34,9 +34,9 @@ def _clock_tables(spark: SparkSession, d: str, estimate: bool = True) -> tuple[D
         scrapers.select(F.concat(F.lit("scraper:"), "scraper_id").alias("source"), F.col("tz").alias("zone"))
     ).where(F.col("source").isNotNull() & F.col("zone").isin(*available_timezones())).dropDuplicates(["source"])
     declared_zones = [r[0] for r in declared.select("zone").distinct().collect()]  # names of time zones only, some hundreds exist
-    zones = clocks.offset_histories(declared_zones) if estimate else declared_zones
+    zones = clocks.offset_histories(declared_zones)
     short = spark.createDataFrame(clocks.abbreviations([*zones, *declared_zones]) or [("UTC", "utc", 0)], "zone string, name string, offset long")
-    candidates = spark.createDataFrame([(z,) for z in zones], "zone string") if estimate else None
+    candidates = spark.createDataFrame([(z,) for z in zones], "zone string")
     return clocks.read(values.select("page", "field", "source", "day_order", "value")), declared, candidates, short
 
 
@@ -73,8 +73,9 @@ def p4_histories(spark: SparkSession, d: str) -> DataFrame:
     return clocks.zone_histories(clocks.zone_violations(r, declared, candidates, "scraped_at", short))
 
 
-def _p4(spark: SparkSession, d: str, estimate: bool) -> DataFrame:
-    r, declared, candidates, short = _clock_tables(spark, d, estimate)
+def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """Each value that names one instant, with the basis of its zone; estimated zones are marked, and tied ones."""
+    r, declared, candidates, short = _clock_tables(spark, d)
     r = stage(r, "p4-read")
     histories = stage(clocks.zone_histories(clocks.zone_violations(r, declared, candidates, "scraped_at", short)), "p4-zones")
     return clocks.normalise(r, histories, short).select(
@@ -83,14 +84,9 @@ def _p4(spark: SparkSession, d: str, estimate: bool) -> DataFrame:
     )
 
 
-def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
-    """Each value that names one instant, with the basis of its zone; estimated zones are marked, and tied ones."""
-    return _p4(spark, d, estimate=True)
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Values that name exactly one instant: explicit offsets and clocks that are known. Estimates aren't cases, so none are tried."""
-    return _p4(spark, d, estimate=False).where("basis <> 'estimated'").select("page_id", "field_name", "utc").distinct()
+    """Values that name exactly one instant: of those normalised the ones with explicit offsets and on clocks that are known; estimates aren't cases."""
+    return p4_normalised(spark, d).where("basis <> 'estimated'").select("page_id", "field_name", "utc").distinct()
 
 
 def p5_normalised(spark: SparkSession, d: str) -> DataFrame:

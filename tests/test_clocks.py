@@ -7,6 +7,7 @@ from zoneinfo import ZoneInfo
 import pytest
 
 from granary.operators import clocks
+from granary.plans import cleaning
 
 ZONES = ["Europe/Paris", "America/New_York", "Europe/London", "Asia/Kolkata"]
 CASES = [  # value, source, day order, instant or None
@@ -153,3 +154,36 @@ def test_accuracy_without_declared_zones(spark):
     right = sum(got.get(p) == u for p, u in want.items())
     print("right", right, "of", len(want), {x.source: (x.zone, x.tied) for x in h.collect()})
     assert right >= 0.97 * len(want)
+
+
+def test_found_chooses_a_history_for_every_source(spark, tmp_path, monkeypatch):
+    """p4_found runs the whole method; its rows are the normalised ones that aren't estimates."""
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    write("sites", [("paris.example", "Europe/Paris", "DMY"), ("odd.example", "Nowhere/Land", "DMY")], "host string, tz string, day_order string")
+    write("scrapers", [("bot", "UTC")], "scraper_id string, tz string")
+    rows = []
+    for i in range(28):
+        day = f"2023-07-{i + 1:02d}"
+        rows += [(i, f"https://{h}/p", "bot", f"{day} 10:00:00", f"{day} 15:{i:02d}:00", f"{day}T15:30:00+05:30") for h in ("new.example", "odd.example")]
+        rows.append((100 + i, "https://www.paris.example/p", "bot", f"{day} 10:00:00", f"{day} 11:{i:02d}:00", None))
+    rows.append((200, None, None, "2023-07-01 10:00:00", "2023-07-01 09:00:00", "2023-07-01T09:00:00Z"))
+    write("web_articles", rows, "page_id long, url string, scraper_id string, scraped_at string, date_published string, date_modified string")
+
+    used, normalise = {}, clocks.normalise
+
+    def spy(r, histories, short):
+        used.update({h.source: h for h in histories.collect()})
+        return normalise(r, histories, short)
+
+    monkeypatch.setattr(clocks, "normalise", spy)
+    got = {tuple(r) for r in cleaning.p4_found(spark, str(tmp_path)).collect()}
+    assert {k: (h.declared, h.violations) for k, h in used.items()} == {
+        "site:new.example": (False, 0), "site:odd.example": (False, 0), "site:paris.example": (True, 0), "scraper:bot": (True, 0)}
+    for k in ("site:new.example", "site:odd.example"):  # only an offset of 5:30 has no violations
+        assert dt.datetime(2023, 7, 1, tzinfo=ZoneInfo(used[k].zone)).utcoffset() == dt.timedelta(hours=5, minutes=30)
+    every = cleaning.p4_normalised(spark, str(tmp_path)).collect()
+    assert got == {(r.page_id, r.field_name, r.utc) for r in every if r.basis != "estimated"}
+    assert {r.basis for r in every} == {"explicit", "declared", "estimated"} and (200, "date_modified", "2023-07-01T09:00:00.000000Z") in got
+    assert (100, "date_published", "2023-07-01T09:00:00.000000Z") in got and not [x for x in got if x[0] < 100 and x[1] == "date_published"]
